@@ -74,8 +74,5 @@ def title_case(c: Column) -> Column:
 
 def decode(c: Column, table: dict[str, str], default: str = "Unknown") -> Column:
     """Look a trimmed, upper-cased code up in a small fixed table."""
-    code = standard_code(c)
-    chain = None
-    for key, text in table.items():
-        chain = F.when(code == key, text) if chain is None else chain.when(code == key, text)
-    return chain.otherwise(default)
+    pairs = [F.lit(x) for pair in table.items() for x in pair]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), standard_code(c)), F.lit(default))
