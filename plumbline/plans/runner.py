@@ -34,8 +34,13 @@ class Result:
     truncated: bool = False
     duration_ms: int = 0
     error_message: str = ""
-    failures: DataFrame | None = None
     params: dict | None = None
+    check: Check | None = None
+
+    @property
+    def failures(self) -> DataFrame | None:
+        """Planned only when asked for; None when the check could not be built."""
+        return None if self.check is None else self.check.failures
 
 
 class RunLog:
@@ -154,7 +159,7 @@ def run_rules(
             for name in ("status", "source_row_count", "target_row_count", "truncated",
                          "matched_record_count", "failed_record_count"):
                 setattr(result, name, measured[name])
-            result.failures = check.failures
+            result.check = check
             if log is not None and result.status == "FAIL":
                 log.add_failures(result, batch_id, now)
         except Exception as exc:

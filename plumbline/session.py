@@ -17,6 +17,9 @@ SETTINGS = {
     # All timestamps are wall-clock (NTZ); UTC keeps casts free of DST gaps.
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
+    # Checks build hundreds of column expressions; recording the Python call site
+    # of each one costs more than planning them.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
