@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.workload import compare
+from plumbline.workload import compare, layers
 from plumbline.workload.feed import Feed
 
-MODULES = [compare]
+MODULES = [compare, layers]
 
 
 def _all() -> dict[str, tuple[Callable[[Feed], DataFrame], str | None]]:
