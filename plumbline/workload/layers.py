@@ -31,6 +31,8 @@ from plumbline.workload.feed import BATCHES, FOREIGN, LOST, TWICE, WRONG, Feed
 B1, B2, B3 = BATCHES
 PROCESSES = {"TRN_CUSTOMER": "CUSTOMER_CURATED_LOAD", "TRN_POLICY": "POLICY_CURATED_LOAD",
              "TRN_CLAIM": "CLAIM_CURATED_LOAD"}
+# Day of the month whose rows are delivered a second time.
+RESENT = {"STG_POLICY": TWICE, "STG_CLAIM": TWICE, "STG_CUSTOMER": 2}
 EMPTY_STATE = ", ".join(f"{c} {t}" for c, t in types(DQ_WATERMARK).items())
 
 
@@ -152,7 +154,7 @@ def boundary(stg: str, loaded: tuple[str, ...], batch: str):
 
     def run(feed: Feed) -> DataFrame:
         rows = rows_of(feed)
-        resent = of(rows, B1).filter(F.dayofmonth(dated) == TWICE)
+        resent = of(rows, B1).filter(F.dayofmonth(dated) == RESENT[stg])
         sent = of(rows, batch).unionByName(resent.withColumn("BATCH_ID", F.lit(batch)))
         found = rules.watermark_breach(
             sent, marks_after(feed, *loaded), key, process, batch)
@@ -192,7 +194,7 @@ def _boundary_sql(stg: str, loaded: tuple[str, ...], batch: str) -> str:
                   ("RECORD_EFFECTIVE_TS", "PREVIOUS_WATERMARK", "BATCH_HIGH_WATERMARK"))
     sent = (f"SELECT {key}, RECORD_EFFECTIVE_TS, BATCH_ID FROM {t} WHERE BATCH_ID = '{batch}' "
             f"UNION ALL SELECT {key}, RECORD_EFFECTIVE_TS, '{batch}' FROM {t} "
-            f"WHERE BATCH_ID = '{B1}' AND day({dated}) = 19")
+            f"WHERE BATCH_ID = '{B1}' AND day({dated}) = {RESENT[stg]}")
     old = "Not newer than the previous batch''s watermark: already-processed data sent again"
     body = (
         f"SELECT {key} AS business_key, 'RECORD_EFFECTIVE_TS' AS column_name, "
@@ -513,5 +515,31 @@ def queries() -> dict:
                       "'(all)') AS table_name, CAST(sum(total_rows) AS BIGINT) AS total_rows, "
                       "CAST(sum(batch_rows) AS BIGINT) AS batch_rows FROM counts "
                       "GROUP BY ROLLUP (layer, table_name)", counts=_counts_sql(B2))),
-        "regression_copies": (regression_copies, None),
+        "regression_copies": (regression_copies, _copies_sql()),
     }
+
+
+def _copies_sql() -> str:
+    scope = f"CLAIM_ID IN (SELECT CLAIM_ID FROM trn_claim WHERE BATCH_ID = '{B2}')"
+    parts = {
+        "Policy transformation vs curated": sql.reconcile(
+            "policy_master", {"POLICY_ID": "text"}, _POLICY_COLS,
+            src=f"{_POLICY_SRC} WHERE BATCH_ID = '{B2}'",
+            tgt=_batch_scope("policy_master", "trn_policy", "POLICY_ID", B2)),
+        "Claim transformation vs curated": sql.reconcile(
+            "claim_master", {"CLAIM_ID": "text"}, _CLAIM_COLS,
+            src=f"{_CLAIM_SRC} WHERE BATCH_ID = '{B2}'",
+            tgt=_batch_scope("claim_master", "trn_claim", "CLAIM_ID", B2)),
+        "No orphan claims in curated": sql.using(
+            "claim_master policy_master",
+            f"SELECT 'RULE_VIOLATION' AS failure_type FROM claim_master c WHERE {scope} AND NOT "
+            "EXISTS (SELECT 1 FROM policy_master p WHERE p.POLICY_ID = c.POLICY_ID)"),
+        "Claim date inside policy coverage": sql.using(
+            "claim_master policy_master",
+            "SELECT 'RULE_VIOLATION' AS failure_type FROM claim_master c JOIN policy_master p "
+            f"ON p.POLICY_ID = c.POLICY_ID WHERE {scope} AND (c.CLAIM_DATE < p.ISSUE_DATE OR "
+            "c.CLAIM_DATE > p.EXPIRY_DATE)"),
+    }
+    return " UNION ALL ".join(
+        f"SELECT failure_type, '{name}' AS test_name, count(*) AS failures FROM ({text}) "
+        "GROUP BY failure_type" for name, text in parts.items())
