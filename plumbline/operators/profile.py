@@ -81,22 +81,51 @@ def profile(df: DataFrame, approximate: bool = False) -> DataFrame:
 
 
 def distinct_counts(df: DataFrame) -> DataFrame:
-    """position, distinct_count and the most frequent value's count; one row per column."""
+    """
+    position, distinct_count and the most frequent value's count; one row per column.
+
+    Values are compared in their own type: whole numbers and times as a long,
+    floating point as a double, the rest as text.
+    """
     slots = []
     for i, f in enumerate(df.schema.fields):
-        text = text_of(F.col(f"`{f.name}`"), f.dataType)
-        if kind_of(f.dataType) in ("text", "nested", "bin"):
-            text = F.when(F.length(text) > _LONG, F.sha2(text, 256)).otherwise(text)
-        slots.append(F.struct(F.lit(i).alias("position"), text.alias("value")))
+        c = F.col(f"`{f.name}`")
+        slots.append(F.struct(F.lit(i).alias("position"), *_typed_value(c, f.dataType)))
     return (
         df.select(F.explode(F.array(*slots)).alias("x")).select("x.*")
-        .filter(F.col("value").isNotNull())
-        .groupBy("position", "value").agg(F.count(F.lit(1)).alias("_n"))
+        .filter("l is not null or d is not null or s is not null")
+        .groupBy("position", "l", "d", "s").agg(F.count(F.lit(1)).alias("_n"))
         .groupBy("position")
         .agg(F.count(F.lit(1)).alias("distinct_count"), F.max("_n").alias("_most"))
     )
 
 
+def _typed_value(c: Column, dt: T.DataType) -> list[Column]:
+    """The value in exactly one of a long, a double and a text field."""
+    kind = kind_of(dt)
+    whole = real = text = None
+    if isinstance(dt, T.DecimalType):
+        small = dt.precision <= 18
+        whole = (c * 10**dt.scale).cast("bigint") if small else None
+        text = None if small else c.cast("string")
+    elif isinstance(dt, (T.DoubleType, T.FloatType)):
+        real = c.cast("double")
+    elif kind in ("num", "bool"):
+        whole = c.cast("bigint")
+    elif kind == "date":
+        whole = F.unix_date(c).cast("bigint")
+    elif kind == "ts":
+        whole = F.unix_micros(c.cast("timestamp"))
+    else:
+        text = text_of(c, dt)
+        text = F.when(F.length(text) > _LONG, F.sha2(text, 256)).otherwise(text)
+
+    def typed(value, type_: str, name: str) -> Column:
+        return (F.lit(None) if value is None else value).cast(type_).alias(name)
+
+    return [typed(whole, "bigint", "l"), typed(real, "double", "d"), typed(text, "string", "s")]
+
+
 def candidate_keys(profiled: DataFrame) -> DataFrame:
     return profiled.filter("is_key").select("column_name")
 

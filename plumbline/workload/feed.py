@@ -15,7 +15,6 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators.latest import latest_by
 from plumbline.operators.mutate import customer_totals, with_totals
 from plumbline.plans import mapping
 
@@ -93,12 +92,11 @@ class Feed:
             batch_of_year(F.col("o_orderdate")).alias("BATCH_ID"),
         )
 
-    @cached_property
-    def claim_versions(self) -> DataFrame:
-        """Every line item as a delivered version of a claim; ids repeat."""
+    def _claims(self, *id_parts: str) -> DataFrame:
         amount, off, tax = (money(F.col(c)) for c in ("l_extendedprice", "l_discount", "l_tax"))
         return self.table("lineitem").select(
-            F.concat(F.lit("L"), "l_orderkey", F.lit("-"), "l_linenumber").alias("CLAIM_ID"),
+            F.concat(F.lit("L"), F.concat_ws("-", *[F.col(c).cast("string") for c in id_parts]))
+            .alias("CLAIM_ID"),
             F.concat(F.lit("P"), "l_orderkey").alias("POLICY_ID"),
             F.concat(F.lit("S"), "l_suppkey").alias("CUSTOMER_ID"),
             F.col("l_shipdate").cast("date").alias("CLAIM_DATE"),
@@ -113,11 +111,13 @@ class Feed:
 
     @cached_property
     def stg_claim(self) -> DataFrame:
-        """One row per claim id: the last version any batch delivered."""
-        newest = [F.col(c).desc_nulls_last() for c in (
-            "LAST_UPDATED_TS", "CLAIM_AMOUNT", "CUSTOMER_ID", "APPROVED_AMOUNT", "CLAIM_STATUS",
-            "INCIDENT_TYPE")]
-        return latest_by(self.claim_versions, ["CLAIM_ID"], newest)
+        """Every line item as a claim of its own."""
+        return self._claims("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+    @cached_property
+    def claim_versions(self) -> DataFrame:
+        """Every line item as a delivered version of a claim; ids repeat within and over batches."""
+        return self._claims("l_orderkey", "l_linenumber")
 
     # ------------------------------------------------------------ transformation
     @cached_property

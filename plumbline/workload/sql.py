@@ -35,6 +35,20 @@ _TYPES = {"AUTO": "Automobile", "HOME": "Home Insurance", "HEALTH": "Health Insu
 _STATUS = {"A": "Active", "I": "Inactive", "C": "Cancelled", "L": "Lapsed"}
 _CLAIM = {"P": "Pending", "A": "Approved", "R": "Rejected", "S": "Settled"}
 
+_CLAIMS = f"""
+        SELECT 'L' || {{id}} AS CLAIM_ID,
+               'P' || l_orderkey AS POLICY_ID, 'S' || l_suppkey AS CUSTOMER_ID,
+               CAST(l_shipdate AS DATE) AS CLAIM_DATE,
+               {_M(c='l_extendedprice')} AS CLAIM_AMOUNT,
+               CASE WHEN {_M(c='l_discount')} <> 0 THEN CAST({_M(c='l_extendedprice')}
+                    * (1 - {_M(c='l_discount')} + {_M(c='l_tax')}) AS DECIMAL(12,2)) END
+                    AS APPROVED_AMOUNT,
+               CASE l_returnflag WHEN 'A' THEN 'a ' WHEN 'N' THEN ' p' WHEN 'R' THEN 'R'
+                    ELSE 'X' END AS CLAIM_STATUS,
+               l_linestatus AS INCIDENT_TYPE, l_shipdate AS LAST_UPDATED_TS,
+               {_BATCH.format(c='l_shipdate')} AS BATCH_ID
+        FROM lineitem"""
+
 CTES = {
     "stg_customer": """
         SELECT 'C' || c_custkey AS CUSTOMER_ID,
@@ -59,25 +73,9 @@ CTES = {
                CAST(o_orderdate AS DATE) + 365 AS EXPIRY_DATE,
                o_orderdate AS LAST_UPDATED_TS, {_BATCH.format(c='o_orderdate')} AS BATCH_ID
         FROM orders""",
-    "claim_versions": f"""
-        SELECT 'L' || l_orderkey || '-' || l_linenumber AS CLAIM_ID,
-               'P' || l_orderkey AS POLICY_ID, 'S' || l_suppkey AS CUSTOMER_ID,
-               CAST(l_shipdate AS DATE) AS CLAIM_DATE,
-               {_M(c='l_extendedprice')} AS CLAIM_AMOUNT,
-               CASE WHEN {_M(c='l_discount')} <> 0 THEN CAST({_M(c='l_extendedprice')}
-                    * (1 - {_M(c='l_discount')} + {_M(c='l_tax')}) AS DECIMAL(12,2)) END
-                    AS APPROVED_AMOUNT,
-               CASE l_returnflag WHEN 'A' THEN 'a ' WHEN 'N' THEN ' p' WHEN 'R' THEN 'R'
-                    ELSE 'X' END AS CLAIM_STATUS,
-               l_linestatus AS INCIDENT_TYPE, l_shipdate AS LAST_UPDATED_TS,
-               {_BATCH.format(c='l_shipdate')} AS BATCH_ID
-        FROM lineitem""",
-    "stg_claim": """
-        SELECT * FROM claim_versions
-        QUALIFY row_number() OVER (PARTITION BY CLAIM_ID ORDER BY LAST_UPDATED_TS DESC NULLS LAST,
-            CLAIM_AMOUNT DESC NULLS LAST, CUSTOMER_ID DESC NULLS LAST,
-            APPROVED_AMOUNT DESC NULLS LAST, CLAIM_STATUS DESC NULLS LAST,
-            INCIDENT_TYPE DESC NULLS LAST) = 1""",
+    "stg_claim": _CLAIMS.format(
+        id="l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey"),
+    "claim_versions": _CLAIMS.format(id="l_orderkey || '-' || l_linenumber"),
     "trn_customer": """
         SELECT trim(CUSTOMER_ID) AS CUSTOMER_ID,
                coalesce(nullif(upper(trim(CUSTOMER_NAME)), ''), 'UNKNOWN') AS CUSTOMER_NAME,
@@ -174,7 +172,7 @@ CTES = {
         FROM part""",
 }
 _NEEDS = {
-    "stg_claim": ["claim_versions"], "trn_customer": ["stg_customer"],
+    "trn_customer": ["stg_customer"],
     "trn_policy": ["stg_policy"], "trn_claim": ["stg_claim"], "policy_master": ["trn_policy"],
     "claim_master": ["trn_claim"], "pol_totals": ["policy_master"],
     "clm_totals": ["policy_master", "claim_master"],
