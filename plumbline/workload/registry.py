@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.workload import compare, layers, loads, logs
+from plumbline.workload import compare, io, layers, loads, logs
 from plumbline.workload.feed import Feed
 
-MODULES = [compare, layers, logs, loads]
+MODULES = [compare, layers, logs, loads, io]
 
 
 def _all() -> dict[str, tuple[Callable[[Feed], DataFrame], str | None]]:
