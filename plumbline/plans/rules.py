@@ -177,13 +177,13 @@ def watermark_breach(
     was not committed for the batch. ``marks`` holds one row per process.
     """
     # The state table has one row per process, whatever the data's size.
-    mark = F.broadcast(marks.filter(F.col("PROCESS_NAME") == process).select(
-        "PROCESS_NAME", "PREVIOUS_WATERMARK", "BATCH_HIGH_WATERMARK", "LAST_BATCH_ID"
-    ))
+    mark = marks.filter(F.col("PROCESS_NAME") == process).select(
+        "PREVIOUS_WATERMARK", "BATCH_HIGH_WATERMARK", "LAST_BATCH_ID"
+    )
     ts, low, high = (F.col(c) for c in
                      ("RECORD_EFFECTIVE_TS", "PREVIOUS_WATERMARK", "BATCH_HIGH_WATERMARK"))
     outside = trn.select(key, "RECORD_EFFECTIVE_TS", "BATCH_ID").join(
-        mark, F.col("BATCH_ID") == F.col("LAST_BATCH_ID")
+        F.broadcast(mark), F.col("BATCH_ID") == F.col("LAST_BATCH_ID")
     ).filter((ts <= low) | (ts > high))
     lower = F.coalesce(F.concat(F.lit("after "), low.cast("string")), F.lit("no lower bound"))
     breaches = violation(
@@ -193,10 +193,14 @@ def watermark_breach(
                "Not newer than the previous batch's watermark: already-processed data sent again")
         .otherwise("Later than the high watermark committed for the batch"),
     )
-    carried = trn.agg(F.lit(process).alias("PROCESS_NAME"), F.count(F.lit(1)).alias("_n"))
-    last = F.col("LAST_BATCH_ID")
-    uncommitted = carried.filter("_n > 0").join(mark, "PROCESS_NAME", "left").filter(
-        last.isNull() | (last != batch_id)
+    # Two one-row facts, stacked: rows carried, and the batch committed last.
+    carried = trn.agg(F.count(F.lit(1)).alias("_n"), F.lit(None).cast("string").alias("_last"))
+    committed = mark.agg(F.lit(0).cast("bigint").alias("_n"),
+                         F.max("LAST_BATCH_ID").alias("_last"))
+    last = F.col("_last")
+    uncommitted = (
+        carried.unionByName(committed).agg(F.sum("_n").alias("_n"), F.max("_last").alias("_last"))
+        .filter((F.col("_n") > 0) & (last.isNull() | (last != batch_id)))
     )
     return breaches.unionByName(violation(
         uncommitted, F.lit(batch_id), "LAST_BATCH_ID", F.lit(batch_id),

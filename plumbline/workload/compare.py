@@ -319,8 +319,8 @@ def status_events(feed: Feed):
 def region_report(feed: Feed):
     """Reporting only: customers per region; never fails."""
     rows = feed.table("customer").join(
-        F.broadcast(feed.table("nation")), F.col("c_nationkey") == F.col("n_nationkey")
-    ).join(F.broadcast(feed.table("region")), F.col("n_regionkey") == F.col("r_regionkey"))
+        feed.table("nation"), F.col("c_nationkey") == F.col("n_nationkey")
+    ).join(feed.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return informational(rows.groupBy("r_name").agg(F.count(F.lit(1)).alias("n")), "Regions")
 
 

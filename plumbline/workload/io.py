@@ -259,11 +259,15 @@ def queries() -> dict:
         .replace("day(CLAIM_DATE) = 23", "false").replace("day(CLAIM_DATE) <> 13", "true"),
     }
     chain = {k: sql.CTES[k] for k in ("pol_totals", "clm_totals", "true_360")}
-    linked = ("SELECT * FROM all_claims c WHERE EXISTS (SELECT 1 FROM trn_policy p WHERE "
-              "p.POLICY_ID = c.POLICY_ID AND p.BATCH_ID <= (SELECT BATCH_ID FROM trn_claim t "
-              "WHERE t.CLAIM_ID = c.CLAIM_ID))")
-    promoted_ctes = {"policy_master": clean["policy_master"], "all_claims": clean["claim_master"],
-                     "claim_master": linked}
+    # A claim reaches curated when its policy's batch is not later than its own; the
+    # last batch to deliver an id wins.
+    loaded = ("SELECT * FROM trn_claim t WHERE EXISTS (SELECT 1 FROM trn_policy p WHERE "
+              "p.POLICY_ID = t.POLICY_ID AND p.BATCH_ID <= t.BATCH_ID) QUALIFY row_number() OVER "
+              "(PARTITION BY CLAIM_ID ORDER BY BATCH_ID DESC) = 1")
+    promoted_ctes = {
+        "policy_master": clean["policy_master"], "loaded": loaded,
+        "claim_master": clean["claim_master"].replace("FROM trn_claim", "FROM loaded"),
+    }
     return {
         "delimited_files": (delimited, f"WITH o AS ({typed}) " + " UNION ALL ".join(
             f"SELECT '{t}' AS table_name, * FROM o" for t in ("SEMI", "COMMA", "TABS", "PIPES"))),
