@@ -94,16 +94,18 @@ def reconcile(
             _failure(extra, key_list, "<NOT IN SOURCE>", "record present in target",
                      EXTRA_IN_TARGET, "Record exists in target but has no matching source record"),
         ]
-        for i, (name, diff, (st, tt)) in enumerate(zip(columns, differs, field_types)):
+        for i, (name, (st, tt)) in enumerate(zip(columns, field_types)):
             cases.append(
-                _failure(diff, name, render(F.col(_SRC)[f"c{i}"], st),
+                _failure(F.col(f"_d{i}"), name, render(F.col(_SRC)[f"c{i}"], st),
                          render(F.col(_TGT)[f"c{i}"], tt), VALUE_MISMATCH,
                          f"{name} does not match between source and target")
             )
-        # Most pairs agree, so they are dropped before any failure is built.
+        # The comparisons get a projection of their own, so that they run once and the
+        # generated code of each step stays small enough for the JVM to compile.
+        flagged = frame.withColumns({f"_d{i}": d for i, d in enumerate(differs)})
         return (
-            frame.filter(dup_src | dup_tgt | missing | extra | any_diff)
-            .select(business_key.alias("business_key"), F.explode(F.array(*cases)).alias("f"))
+            flagged.select(business_key.alias("business_key"),
+                           F.explode(F.array(*cases)).alias("f"))
             .filter(F.col("f").isNotNull())
             .select("business_key", "f.*")
         )
