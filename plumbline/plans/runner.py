@@ -6,11 +6,13 @@ import json
 import time
 import uuid
 from collections.abc import Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from plumbline import schemas
 from plumbline.operators import rules as kinds
@@ -44,14 +46,18 @@ class Result:
 
 
 class RunLog:
-    """Append-only Parquet logs below one folder."""
+    """
+    Append-only Parquet logs below one folder. Every append gets a folder of its
+    own, so checks and runs that log at the same time cannot disturb each other.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
     def read(self, name: str, ddl: str) -> DataFrame:
         try:
-            return self.spark.read.schema(ddl).parquet(f"{self.root}/{name}")
+            return self.spark.read.schema(ddl).option("recursiveFileLookup", True).parquet(
+                f"{self.root}/{name}")
         except Exception as exc:
             if "PATH_NOT_FOUND" not in str(exc):
                 raise
@@ -71,7 +77,7 @@ class RunLog:
         return self.read("regression_run", schemas.REGRESSION_RUN)
 
     def append(self, name: str, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(f"{self.root}/{name}")
+        rows.write.parquet(f"{self.root}/{name}/{uuid.uuid4().hex}")
 
     def add_failures(self, result: Result, batch_id: str, now: datetime) -> None:
         """Every failure, clipped to the log's field sizes, written by the executors."""
@@ -138,18 +144,21 @@ def run_rules(
     run_mode: str = "ADHOC",
     project_id: str = "",
     executed_by: str = "",
+    parallel: int = 1,
 ) -> list[Result]:
     """
-    Run checks under one run id, in the order given. A check that raises, while
-    planning or while running, is an ERROR and the rest still run.
+    Run checks under one run id; results keep the order given. A check that raises,
+    while planning or while running, is an ERROR and the rest still run.
+    ``parallel`` checks are submitted at a time, so small ones can share a cluster.
 
     Measuring is one aggregate per check; failure detail is only computed for a
-    check that failed, straight into the log.
+    check that failed, straight into the log. Without a log it is computed when
+    the result's ``failures`` are read, so an error in a detail column shows there.
     """
     now = spark.range(1).select(run_clock().alias("t")).first().t
     run_id = run_id or f"RUN_{now:%Y%m%d_%H%M%S}_{uuid.uuid4().hex[:6]}"
-    results = []
-    for rule in rules:
+
+    def run(rule: Rule) -> Result:
         values = resolve(batch_id, now, rule.defaults, params)
         result = Result(uuid.uuid4().hex, rule, "ERROR", params=values)
         began = time.perf_counter()
@@ -166,7 +175,13 @@ def run_rules(
             result.status = "ERROR"
             result.error_message = f"{type(exc).__name__}: {exc}"
         result.duration_ms = int((time.perf_counter() - began) * 1000)
-        results.append(result)
+        return result
+
+    if parallel > 1:
+        with ThreadPoolExecutor(parallel) as pool:
+            results = list(pool.map(inheritable_thread_target(spark)(run), rules))
+    else:
+        results = [run(rule) for rule in rules]
     if log is not None and results:
         log.add_executions(results, run_id, batch_id, now, run_mode, project_id, executed_by)
     return results

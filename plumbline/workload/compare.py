@@ -15,6 +15,7 @@ from plumbline.operators.rules import (
     rule_failures,
     status_column,
 )
+from plumbline.operators.screen import reconcile_screened
 from plumbline.plans import rules
 from plumbline.workload import sql
 from plumbline.workload.feed import (
@@ -68,8 +69,8 @@ _ORDER_COLS = {"O_CUSTKEY": "int", "O_ORDERSTATUS": "text", "O_TOTALPRICE": "num
                "O_ORDERDATE": "date", "O_ORDERPRIORITY": "text"}
 
 
-def orders_check(feed: Feed):
-    return reconcile(order_source(feed), order_target(feed), ["o_orderkey"])
+def orders_check(feed: Feed, method=reconcile):
+    return method(order_source(feed), order_target(feed), ["o_orderkey"])
 
 
 # ---------------------------------------------------------------- reconcile
@@ -108,13 +109,13 @@ def line_items(feed: Feed) -> DataFrame:
     )
 
 
-def composite_key(feed: Feed):
+def composite_key(feed: Feed, method=reconcile):
     """A two-part key that repeats on both sides."""
     src = line_items(feed)
     day = F.dayofmonth("l_shipdate")
     tgt = src.filter(day != LOST).withColumn(
         "l_returnflag", F.when(day == WRONG, "?").otherwise(F.col("l_returnflag")))
-    return reconcile(src, tgt, ["l_orderkey", "l_linenumber"])
+    return method(src, tgt, ["l_orderkey", "l_linenumber"])
 
 
 def count_match(feed: Feed):
@@ -338,6 +339,13 @@ def queries() -> dict:
             lambda f: composite_key(f).failures,
             sql.reconcile("", {"L_ORDERKEY": "int", "L_LINENUMBER": "int"}, _LINE_COLS,
                           src=_LINES, tgt=_LINE_TGT)),
+        "reconcile_screened": (
+            lambda f: composite_key(f, reconcile_screened).failures,
+            sql.reconcile("", {"L_ORDERKEY": "int", "L_LINENUMBER": "int"}, _LINE_COLS,
+                          src=_LINES, tgt=_LINE_TGT)),
+        "reconcile_screened_metrics": (
+            lambda f: orders_check(f, reconcile_screened).metrics,
+            sql.reconcile("", _ORDER_KEYS, _ORDER_COLS, metrics=True, **orders)),
         "duplicate_keys": (
             lambda f: duplicate_keys(f.table("lineitem"), ["l_orderkey", "l_linenumber"]),
             "SELECT l_orderkey, l_linenumber, count(*) AS n_rows FROM lineitem "

@@ -209,7 +209,7 @@ def suite(feed: Feed) -> DataFrame:
     store = three_batches(feed)
     log = RunLog(feed.spark, scratch(feed.spark, "log"))
     rules = builtin_rules()
-    validate_batch(store, rules, B3, ("1999-01-01", "2001-12-31"), log)
+    validate_batch(store, rules, B3, ("1999-01-01", "2001-12-31"), log, parallel=4)
     return log.executions.select(
         "test_name", "status", "source_row_count", "target_row_count", "matched_record_count",
         "failed_record_count")
@@ -221,7 +221,7 @@ def whole_run(feed: Feed) -> DataFrame:
     tables = feed.tables()
     chosen = [r for r in whole_suite(builtin_rules(), regression_only=True)
               if r.folder in ("/Transformation", "/Linkage", "/Regression")]
-    results = run_rules(feed.spark, chosen, tables, B2, log=log)
+    results = run_rules(feed.spark, chosen, tables, B2, log=log, parallel=4)
     logged = log.failures.groupBy("test_case_id").agg(F.count(F.lit(1)).alias("logged"))
     return results_frame(feed.spark, results).select(
         F.col("test_id").alias("test_case_id"), "status", "failed_record_count"

@@ -142,6 +142,10 @@ def test_every_kind_is_run_logged_and_isolated(spark, tmp_path):
     assert log.executions.select("run_id").distinct().count() == 1
     logged = {(f.test_case_id, f.business_key) for f in log.failures.collect()}
     assert logged == {("T1", "3"), ("T1", "4"), ("T3", "5")}
+    other = RunLog(spark, str(tmp_path / "other"))
+    at_once = run_rules(spark, rules, {"six": spark.range(6)}, "B1", log=other, parallel=5)
+    assert other.executions.count() == 10 and other.failures.count() == 3
+    assert [r.status for r in at_once] == [r.status for r in found]
     run_rules(spark, rules[:1], {}, "B1", {"low": 4}, log=log)      # an override, appended
     assert log.executions.count() == 11 and log.failures.count() == 4
     assert results_frame(spark, found).filter("status = 'ERROR'").count() == 5

@@ -27,7 +27,8 @@ def faulty(df):
         "U": F.when(k == 20, F.col("T")).otherwise(F.col("U")),   # a NULL changes places
     }).filter(k.isNull() | (k != 13))
     again = df.filter(k == 17)
-    hot = df.filter(k == 30).crossJoin(df.sparkSession.range(500)).select(df.columns)
+    hot = df.filter(k == 30).withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(500))))
+    hot = hot.drop("_n")
     return changed.unionByName(again).unionByName(hot).unionByName(
         df.filter(k == 19).withColumn("K", F.lit(99999).cast("bigint")))
 
