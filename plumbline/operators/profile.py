@@ -84,8 +84,8 @@ def distinct_counts(df: DataFrame) -> DataFrame:
     """
     position, distinct_count and the most frequent value's count; one row per column.
 
-    Values are compared in their own type: whole numbers and times as a long,
-    floating point as a double, the rest as text.
+    Values are compared in their own type: whole numbers, dates and instants as a
+    long, floating point as a double, the rest (wall-clock times too) as text.
     """
     slots = []
     for i, f in enumerate(df.schema.fields):
@@ -114,8 +114,8 @@ def _typed_value(c: Column, dt: T.DataType) -> list[Column]:
         whole = c.cast("bigint")
     elif kind == "date":
         whole = F.unix_date(c).cast("bigint")
-    elif kind == "ts":
-        whole = F.unix_micros(c.cast("timestamp"))
+    elif isinstance(dt, T.TimestampType):
+        whole = F.unix_micros(c)
     else:
         text = text_of(c, dt)
         text = F.when(F.length(text) > _LONG, F.sha2(text, 256)).otherwise(text)

@@ -28,8 +28,9 @@ def day_end(d) -> datetime:
 
 
 def in_window(ts: Column, start, end) -> Column:
-    low = F.lit(day_start(start)).cast("timestamp_ntz")
-    high = F.lit(day_end(end)).cast("timestamp_ntz")
+    # As text, so that no time zone takes part in building the literals.
+    low = F.lit(str(day_start(start))).cast("timestamp_ntz")
+    high = F.lit(str(day_end(end))).cast("timestamp_ntz")
     return (ts >= low) & (ts <= high)
 
 

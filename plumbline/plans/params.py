@@ -41,7 +41,7 @@ def missing_params(required: Column, given: Column) -> Column:
 def run_clock() -> Column:
     """The current wall-clock time in the run zone, without a zone of its own."""
     return F.convert_timezone(
-        F.lit("UTC"), F.lit(RUN_ZONE), F.current_timestamp().cast("timestamp_ntz")
+        F.current_timezone(), F.lit(RUN_ZONE), F.current_timestamp().cast("timestamp_ntz")
     )
 
 

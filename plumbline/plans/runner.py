@@ -92,7 +92,7 @@ class RunLog:
             F.substring("actual_value", 1, 4000).alias("actual_value"),
             "failure_type",
             F.substring("failure_reason", 1, 1000).alias("failure_reason"),
-            F.lit(now).cast("timestamp_ntz").alias("failed_ts"),
+            F.lit(str(now)).cast("timestamp_ntz").alias("failed_ts"),
         )
         self.append("failure_log", clipped)
 

@@ -188,3 +188,22 @@ def test_folder_tree(spark):
     tests = spark.createDataFrame([rule("1"), rule("2", active=False)], DDL)
     got = {r.folder_id: r.test_count for r in history.folder_tree(folders, tests).collect()}
     assert got == {"F": 1, "G": 0}
+
+
+def test_windows_and_clock_do_not_depend_on_the_session_zone(spark, log):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    from plumbline.plans.params import run_clock
+
+    def minutes():
+        utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"),
+                                 F.current_timestamp().cast("timestamp_ntz"))
+        r = spark.range(1).select(run_clock().alias("a"), utc.alias("b")).first()
+        return (r.a - r.b).total_seconds() / 60
+
+    try:
+        for name in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            assert ids(history.executions_in(log, "2026-09-01", "2026-09-01")) == ["e1", "e3"]
+            assert minutes() == 330
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
