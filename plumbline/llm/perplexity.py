@@ -29,7 +29,7 @@ from plumbline.session import scratch
 ORDER = 5
 SPREAD = (4.0, 3.0)  # below and above
 MIN_WORDS = 50
-BROADCAST_ENTRIES = 8_000_000  # 16 bytes each
+BROADCAST_ENTRIES = 4_000_000  # about 40 bytes each while they are gathered
 SYMBOLS = b"#*$%&|<>"
 
 _SYMBOL = np.zeros(256, bool)
@@ -163,10 +163,18 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
     per language and order follow from the counts of counts; where those are too
     few for the usual formula, 0.5, 1 and 1.5 stand in.
     """
+    spark = counts.sparkSession
+
+    def stored(frame: DataFrame) -> DataFrame:
+        # Each step is read by several later ones: stored, it runs once and plans stay small.
+        frame.write.parquet(path := scratch(spark, "kneser-ney-step"))
+        return spark.read.parquet(path)
+
     levels = {order: counts.select("lang", "code", "n")}
     for k in range(order - 1, 0, -1):
         low = F.col("code").bitwiseAND(F.lit((1 << (8 * k)) - 1))
-        levels[k] = levels[k + 1].groupBy("lang", low.alias("code")).agg(F.count(F.lit(1)).alias("n"))
+        levels[k] = stored(
+            levels[k + 1].groupBy("lang", low.alias("code")).agg(F.count(F.lit(1)).alias("n")))
 
     model, lower = None, None
     for k in range(1, order + 1):
@@ -188,9 +196,9 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
         rows = rows.withColumn(
             "off", F.when(F.col("tier") == 1, F.col("d1")).when(F.col("tier") == 2, F.col("d2")).otherwise(F.col("d3"))
         )
-        totals = rows.groupBy(F.col("lang").alias("_lang"), F.col("context").alias("_context")).agg(
+        totals = stored(rows.groupBy(F.col("lang").alias("_lang"), F.col("context").alias("_context")).agg(
             F.sum("n").alias("total"), F.sum("off").alias("freed")
-        )
+        ))
         rows = rows.join(
             totals, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("context") == F.col("_context"))
         ).drop("_lang", "_context")
@@ -206,12 +214,13 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
             rows = rows.join(
                 below, F.col("lang").eqNullSafe(F.col("_lang")) & (low == F.col("_code"))
             ).withColumn("p", own + spread * F.col("below"))
+        rows = stored(rows.select("lang", "code", "p"))
         backoff = totals.select(
             F.col("_lang").alias("lang"), F.lit(k - 1).alias("ord"), F.col("_context").alias("code"),
             F.lit(None).cast("double").alias("logp"),
             F.log(F.col("freed") / F.col("total")).alias("backoff"),
         )
-        lower = rows.select("lang", "code", "p")
+        lower = rows
         entry = rows.select(
             "lang", F.lit(k).alias("ord"), "code", F.log("p").alias("logp"),
             F.lit(None).cast("double").alias("backoff"),
