@@ -67,8 +67,10 @@ def best_paths(messages: DataFrame, score: str | None = None, branches: int = 1)
     inner = jumps.filter("up IS NOT NULL").select(F.col("tree").alias("_t"), F.col("up").alias("_n")).distinct()
     members = nodes.join(inner, same & (F.col("node") == F.col("_n")), "left_anti").select(
         "tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("bigint").alias("above"))
+    roots = jumps.filter("up IS NULL").select(F.col("tree").alias("_t"), F.col("node").alias("_n"))
+    deepest = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0  # bounds the rounds on cycles
     step = 1
-    while not jumps.filter("up IS NOT NULL").isEmpty():
+    while step < deepest and not jumps.filter("up IS NOT NULL").isEmpty():
         hop = jumps.filter("up IS NOT NULL").select(
             F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("up").alias("_u"))
         further = members.join(hop, same & (F.col("node") == F.col("_n"))).select(
@@ -77,6 +79,9 @@ def best_paths(messages: DataFrame, score: str | None = None, branches: int = 1)
         jumps = _stored(jumps.filter("up IS NOT NULL").join(
             hop, same & (F.col("up") == F.col("_n")), "left").select("tree", "node", F.col("_u").alias("up")))
         step *= 2
+    rooted = members.join(roots, same & (F.col("node") == F.col("_n"))).select(
+        F.col("tree").alias("_t"), F.col("leaf").alias("_l"))
+    members = _stored(members.join(rooted, same & (F.col("leaf") == F.col("_l")), "left_semi"))
     points = nodes.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), "points")
     sums = members.join(points, same & (F.col("node") == F.col("_n"))).groupBy("tree", "leaf").agg(
         F.sum("points").alias("total"), F.max("above").alias("depth"))

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections import defaultdict, deque
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -123,6 +124,32 @@ def _flow(patterns, quotas, costs):
     return dict(found)
 
 
+def nearest(sizes: np.ndarray, room: int, rounds: int = 20) -> np.ndarray:
+    """Which of the sizes, in their order, to add up to about ``room``: greedily, then by exchanges."""
+    chosen = np.zeros(len(sizes), bool)
+    for k, words in enumerate(sizes.tolist()):
+        if words <= room:
+            chosen[k] = True
+            room -= words
+    for _ in range(rounds):
+        out, own = np.flatnonzero(~chosen), np.flatnonzero(chosen)
+        if not room or not len(out):
+            break
+        out = out[np.argsort(sizes[out], kind="stable")]
+        want = np.concatenate([[room], sizes[own] + room])  # to add, or to put in place of one
+        at = np.searchsorted(sizes[out], want)
+        near = np.stack([np.maximum(at - 1, 0), np.minimum(at, len(out) - 1)])
+        gap = np.abs(sizes[out][near] - want)
+        side, k = np.unravel_index(np.argmin(gap), gap.shape)
+        if gap[side, k] >= abs(room):
+            break
+        room = int(want[k] - sizes[out[near[side, k]]])
+        chosen[out[near[side, k]]] = True
+        if k:
+            chosen[own[k - 1]] = False
+    return chosen
+
+
 def mix(sized: DataFrame, quotas: dict, seed: int = SEED, costs=COSTS, id: str = "doc_id",
         size: str = "size", sources: str = "sources") -> DataFrame:
     """
@@ -164,16 +191,8 @@ def mix(sized: DataFrame, quotas: dict, seed: int = SEED, costs=COSTS, id: str =
 
     def greedy(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["_h", "_size", "_id"], na_position="first")
-        room, extra, first_out = int(rows["_room"].iloc[0]), [], None
-        for k, words in enumerate(rows["_size"].tolist()):
-            extra.append(1 if words <= room else 0)
-            room -= words if words <= room else 0
-        for k, words in enumerate(rows["_size"].tolist()):  # one more, if that ends nearer
-            if not extra[k] and words - room < room and (first_out is None or words < first_out[1]):
-                first_out = (k, words)
-        if first_out:
-            extra[first_out[0]] = 1
-        return pd.DataFrame({"_h": rows["_h"], "_id": rows["_id"], "_size": rows["_size"], "_extra": extra})
+        rows["_extra"] = nearest(rows["_size"].to_numpy(), int(rows["_room"].iloc[0])).astype("int32")
+        return rows[["_h", "_id", "_size", "_extra"]]
 
     on_edge = rows.filter((F.col("_b") == F.col("_edge")) & (F.col(size) > 0))
     picked = (

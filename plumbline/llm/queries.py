@@ -7,13 +7,61 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, mixing, packing, perplexity
+from plumbline.llm import chat, fixity, mixing, packing, perplexity, pii, sharding
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+SHARDS = {f"shard-{i:03d}": 2 if i % 10 == 0 else 1 for i in range(100)}
+
+
+def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.assign(_table(spark, folder, "documents").select("doc_id"), "doc_id", SHARDS)
+
+
+def archived(pages: DataFrame) -> DataFrame:
+    """Pages as records of archive files: (file, offset, length, body), 500 page ids to a file."""
+    body = fixity.warc_record(F.col("url"), F.col("html"))
+    rows = pages.select("page_id", F.format_string("pages-%08d.warc", F.floor(F.col("page_id") / 500)).alias("file"),
+                        body.alias("body")).withColumn("length", F.octet_length("body").cast("bigint"))
+    rows.createOrReplaceTempView("pages_in_files")
+    return pages.sparkSession.sql(
+        "SELECT page_id, file, cast(sum(length) OVER (PARTITION BY file ORDER BY page_id, length, body "
+        "ROWS UNBOUNDED PRECEDING) - length AS bigint) AS offset, length, body FROM pages_in_files")
+
+
+def op3_fixity(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages against a replica in which 1 in 101 has a byte changed, 1 in 211 is lost and 1 in 307 doubled."""
+    good = archived(_table(spark, folder, "pages"))
+    flipped = F.when(F.col("page_id") % 101 == 17, F.concat(F.lit(b"X"), F.substring("body", 2, 1 << 30))).otherwise(F.col("body"))
+    times = F.when(F.col("page_id") % 211 == 5, 0).when(F.col("page_id") % 307 == 11, 2).otherwise(1)
+    bad = good.withColumn("body", flipped).withColumn("copy", F.explode(F.sequence(F.lit(0), times))).filter("copy > 0")
+    return fixity.audit(good, bad)
+
+
+OP3_SQL = r"""
+WITH r AS (
+    SELECT page_id, printf('pages-%08d.warc', page_id // 500) AS file,
+           encode('WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
+                  || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: '
+                  || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)
+                  || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10)) AS body FROM pages
+), a AS (
+    SELECT *, (sum(octet_length(body)) OVER (PARTITION BY file ORDER BY page_id, octet_length(body), body
+               ROWS UNBOUNDED PRECEDING) - octet_length(body))::BIGINT AS "offset" FROM r
+), b AS (
+    SELECT *, sha256(body) AS h,
+           CASE WHEN page_id % 101 = 17 THEN sha256('X'::BLOB || body[2:]) ELSE sha256(body) END AS g,
+           CASE WHEN page_id % 211 = 5 THEN 0 WHEN page_id % 307 = 11 THEN 2 ELSE 1 END AS n FROM a
+)
+SELECT file, "offset", CASE WHEN n = 0 THEN 'missing' ELSE 'changed' END AS problem, h AS first_hash,
+       CASE WHEN n > 0 THEN g END AS second_hash
+FROM b WHERE n <> 1 OR g <> h
+"""
+
+
 def vocabulary() -> bytes:
     """The public byte-level vocabulary as ranks (the same ids as its tokenizers file)."""
     import public_tokenizers
@@ -31,6 +79,20 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing_digest(packing.pack(_table(spark, folder, "documents"), vocabulary()))
 
 
+def _is(kind: str):
+    return lambda x: F.when(x["kind"] == kind, True)
+
+
+def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find(_table(spark, folder, "documents"))
+    joined = lambda c: F.concat_ws(",", F.transform(c, lambda x: F.concat_ws(
+        ":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
+    return found.select(
+        "doc_id",
+        *[F.size(F.array_compact(F.transform("base", _is(k)))).cast("bigint").alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, folder, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken")
@@ -77,6 +139,6 @@ def op9_quality_perplexity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_packing, op6_mixing, op8_reply_trees, op9_quality_perplexity)
+    f.__name__: f for f in (op1_sharding, op2_packing, op3_fixity, op4_pii, op6_mixing, op8_reply_trees, op9_quality_perplexity)
 }
-SQL: dict[str, str] = {"op8_reply_trees": OP8_SQL}
+SQL: dict[str, str] = {"op3_fixity": OP3_SQL, "op8_reply_trees": OP8_SQL}
