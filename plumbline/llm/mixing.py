@@ -133,18 +133,20 @@ def nearest(sizes: np.ndarray, room: int, rounds: int = 20) -> np.ndarray:
             room -= words
     for _ in range(rounds):
         out, own = np.flatnonzero(~chosen), np.flatnonzero(chosen)
-        if not room or not len(out):
+        if not room:
             break
         out = out[np.argsort(sizes[out], kind="stable")]
-        want = np.concatenate([[room], sizes[own] + room])  # to add, or to put in place of one
-        at = np.searchsorted(sizes[out], want)
-        near = np.stack([np.maximum(at - 1, 0), np.minimum(at, len(out) - 1)])
-        gap = np.abs(sizes[out][near] - want)
+        given = np.concatenate([[0], sizes[out]])  # in place of one, nothing may come too
+        want = np.concatenate([[room], sizes[own] + room])
+        at = np.searchsorted(given, want)
+        near = np.stack([np.maximum(at - 1, 0), np.minimum(at, len(given) - 1)])
+        gap = np.abs(given[near] - want)
         side, k = np.unravel_index(np.argmin(gap), gap.shape)
         if gap[side, k] >= abs(room):
             break
-        room = int(want[k] - sizes[out[near[side, k]]])
-        chosen[out[near[side, k]]] = True
+        put, room = near[side, k], int(want[k] - given[near[side, k]])
+        if put:
+            chosen[out[put - 1]] = True
         if k:
             chosen[own[k - 1]] = False
     return chosen

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, fixity, mixing, packing, perplexity, pii, sharding
+from plumbline.llm import ann, chat, fixity, mixing, packing, perplexity, pii, sharding
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -138,7 +138,12 @@ def op9_quality_perplexity(spark: SparkSession, folder: str) -> DataFrame:
         "base_failed", "kept", "lang", "perplexity", "low", "high")
 
 
+def op10_learned_partitions(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.search(_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_packing, op3_fixity, op4_pii, op6_mixing, op8_reply_trees, op9_quality_perplexity)
+    f.__name__: f for f in (op1_sharding, op2_packing, op3_fixity, op4_pii, op6_mixing, op8_reply_trees, op9_quality_perplexity,
+                                op10_learned_partitions)
 }
 SQL: dict[str, str] = {"op3_fixity": OP3_SQL, "op8_reply_trees": OP8_SQL}
