@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann, chat, fixity, mixing, packing, perplexity, pii, sharding
+from plumbline.llm import ann, chat, fixity, mixing, near, packing, perplexity, pii, sharding
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -114,6 +114,10 @@ def op8_reply_trees(spark: SparkSession, folder: str) -> DataFrame:
         F.length("formatted").cast("bigint").alias("formatted_chars"))
 
 
+def op7_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return near.join(_table(spark, folder, "documents"))
+
+
 OP8_SQL = r"""
 WITH c AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations
@@ -143,7 +147,7 @@ def op10_learned_partitions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_packing, op3_fixity, op4_pii, op6_mixing, op8_reply_trees, op9_quality_perplexity,
+    f.__name__: f for f in (op1_sharding, op2_packing, op3_fixity, op4_pii, op6_mixing, op7_jaccard_join, op8_reply_trees, op9_quality_perplexity,
                                 op10_learned_partitions)
 }
 SQL: dict[str, str] = {"op3_fixity": OP3_SQL, "op8_reply_trees": OP8_SQL}
