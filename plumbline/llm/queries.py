@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann, chat, fixity, mixing, near, packing, perplexity, pii, sharding
+from plumbline.llm import ann, chat, fixity, mixing, near, packing, passages, perplexity, pii, sharding
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -93,6 +93,11 @@ def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+def op5_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.remove_repeats(_table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, folder, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken")
@@ -147,7 +152,7 @@ def op10_learned_partitions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_packing, op3_fixity, op4_pii, op6_mixing, op7_jaccard_join, op8_reply_trees, op9_quality_perplexity,
+    f.__name__: f for f in (op1_sharding, op2_packing, op3_fixity, op4_pii, op5_repeated_passages, op6_mixing, op7_jaccard_join, op8_reply_trees, op9_quality_perplexity,
                                 op10_learned_partitions)
 }
 SQL: dict[str, str] = {"op3_fixity": OP3_SQL, "op8_reply_trees": OP8_SQL}
