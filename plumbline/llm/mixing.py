@@ -32,6 +32,7 @@ MOST = 3  # copies of a document
 COSTS = (0, 1, 3)  # of the first, second and third copy
 BUCKET_ROWS = 4096
 SEED = 20240607
+BROADCAST_PATTERNS = 100_000  # beyond, patterns are joined by shuffling
 
 
 def targets(sizes: dict[str | None, int], weights=WEIGHTS, most: int = MOST) -> dict[str | None, float]:
@@ -177,9 +178,10 @@ def mix(sized: DataFrame, quotas: dict, seed: int = SEED, costs=COSTS, id: str =
         flow = sum(flows.get(keyed.get(r._p, ()), {}).values())
         whole = min(len(costs), flow // r.words) if r.words else 0
         plan.append((r._p, int(whole), int(flow - whole * (r.words or 0)), max(1, -(-r.n // BUCKET_ROWS))))
+    # One row per pattern, already counted here; a large pattern then is not gathered by the join.
+    small = F.broadcast if len(plan) <= BROADCAST_PATTERNS else (lambda frame: frame)
     plan = spark.createDataFrame(plan, "_q string, _whole long, _rest long, _buckets long")
-    # One row per pattern.
-    rows = rows.join(plan, F.col("_p") == F.col("_q")).drop("_q").withColumn(
+    rows = rows.join(small(plan), F.col("_p") == F.col("_q")).drop("_q").withColumn(
         "_b", F.pmod(F.shiftrightunsigned("_h", 16), F.col("_buckets")))
 
     sums = rows.groupBy("_p", "_b", "_rest").agg(F.sum(size).alias("w"))
@@ -189,7 +191,7 @@ def mix(sized: DataFrame, quotas: dict, seed: int = SEED, costs=COSTS, id: str =
         f"ORDER BY _b) - w AS before FROM {view}) WHERE before <= _rest AND before + w > _rest")
     spark.catalog.dropTempView(view)
     # One row per pattern: the bucket in which its further copy ends, and the words left there.
-    rows = rows.join(edges, F.col("_p") == F.col("_q"), "left").drop("_q")
+    rows = rows.join(small(edges), F.col("_p") == F.col("_q"), "left").drop("_q")
 
     def greedy(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["_h", "_size", "_id"], na_position="first")
@@ -231,4 +233,6 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, id: str = "doc_id", text: str
     about = spark.createDataFrame(
         [(s, int(totals[s]), float(wanted.get(s, 0.0))) for s in totals] or [], "_s string, source_size long, target double")
     taken = mix(sized, wanted)
+    if len(totals) <= BROADCAST_PATTERNS:
+        about = F.broadcast(about)
     return taken.join(about, F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "sources")
