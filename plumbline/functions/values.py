@@ -16,9 +16,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.text import ISO_TIMESTAMP, NULL_TEXT, strip
+from plumbline.functions.text import ISO_TIMESTAMP, NULL_TEXT, NUMBER, strip
 
-EXACT = "decimal(38,18)"  # 20 integer digits; longer numbers compare as text
+EXACT = "decimal(38,18)"  # what most numbers fit; others compare by their digits or as doubles
+SMALLEST_EXACT = 1e-18
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _FLOATING = (T.FloatType, T.DoubleType)
@@ -50,12 +51,38 @@ def flat(c: Column, dt: T.DataType) -> tuple[Column, T.DataType]:
 
 
 def exact(c: Column, dt: T.DataType) -> Column:
-    """A number as an exact decimal of the digits it prints; NULL when it does not fit."""
-    if isinstance(dt, T.FloatType):  # widening 0.1f would expose its binary tail
-        return c.cast("string").try_cast(EXACT)
+    """A number as a decimal of the digits it prints; NULL when they do not all fit."""
+    if isinstance(dt, T.DecimalType):
+        return c.try_cast(EXACT) if dt.scale <= 18 else _lossless(c.cast("string"))
+    if isinstance(dt, _FLOATING):  # widening 0.1f would expose its binary tail
+        return _lossless(c.cast("string"))
     return c.try_cast(EXACT)
 
 
+def _lossless(text: Column, into: str = EXACT) -> Column:
+    fits = text.try_cast(into)
+    return F.when(digits(fits.cast("string")) == digits(text), fits)
+
+
+def digits(text: Column) -> Column:
+    """
+    Sign, digits and power of ten of a number's text: 1.50 and 0.15E1 -> 15e-1, any zero -> 0.
+
+    NULL for anything that does not spell a finite number. Nothing is rounded at any length.
+    """
+    s = strip(text)
+    mantissa = F.regexp_replace(s, "^[+-]|[eE].*$", "")
+    whole = F.substring_index(mantissa, ".", 1)
+    part = F.when(mantissa.contains("."), F.substring_index(mantissa, ".", -1)).otherwise("")
+    power = F.nullif(F.regexp_extract(s, r"[eE]([+-]?\d+)$", 1), F.lit("")).try_cast("bigint")
+    first = F.ltrim(F.concat(whole, part), F.lit("0"))
+    value = F.rtrim(first, F.lit("0"))
+    last = F.coalesce(power, F.lit(0)) - F.length(part) + F.length(first) - F.length(value)
+    sign = F.when(s.startswith("-"), "-").otherwise("")
+    spelled = F.when(value == "", "0").otherwise(F.concat(sign, value, F.lit("e"), last.cast("string")))
+    return F.when(s.rlike(NUMBER), spelled)
+
+
 def _plain(number: Column) -> Column:
     """Decimal text without trailing zeros: 12000.00 -> 12000, 1200 stays 1200."""
     s = number.cast("string")
@@ -77,7 +104,7 @@ def text_of(c: Column, dt: T.DataType) -> Column:
     kind = kind_of(dt)
     if kind == "num":
         return F.coalesce(
-            _plain(exact(c, dt)), _plain(c.try_cast("decimal(38,0)")), c.cast("string")
+            _plain(exact(c, dt)), _plain(_lossless(c.cast("string"), "decimal(38,0)")), c.cast("string")
         )
     if kind == "bool":
         return F.when(c, "True").when(~c, "False")
@@ -122,13 +149,12 @@ def _text_equals(text: Column, other: Column, other_type: T.DataType, tolerance)
     """What the text spells against another text, number, date or timestamp."""
     kind = kind_of(other_type)
     s = strip(text)
-    number, o_number = s.try_cast(EXACT), None
+    o = None
     if kind == "text":
         o = strip(other)
-        o_number = o.try_cast(EXACT)
         same = [s == o, _moment(s) == _moment(o)]
     elif kind == "num":
-        o_number = exact(other, other_type)
+        o = other.cast("string")
         same = [s == text_of(other, other_type)]
     elif kind == "date":
         same = [s == other.cast("string")]
@@ -136,11 +162,8 @@ def _text_equals(text: Column, other: Column, other_type: T.DataType, tolerance)
         same = [_moment(s) == _clock(other)]
     else:
         return text.isNull() & other.isNull()
-    if o_number is not None:
-        if tolerance:
-            same.append(F.abs(number - o_number) <= F.lit(str(tolerance)).cast(EXACT))
-        else:
-            same.append(number == o_number)
+    if o is not None:
+        same.append(_near(s, o, tolerance) if tolerance else digits(s) == digits(o))
     spelled = reduce(or_, [F.coalesce(c, F.lit(False)) for c in same])
     both_null = text.isNull() & other.isNull()
     # Identical text needs no parsing, and most values are identical.
@@ -154,18 +177,27 @@ def _moment(s: Column) -> Column:
     return F.when(has_time, _clock(s.try_cast("timestamp_ntz")))
 
 
+def _near(a: Column, b: Column, tolerance) -> Column:
+    """Number texts at most the tolerance apart: exactly where both fit, else as doubles."""
+    spelled = a.rlike(NUMBER) & b.rlike(NUMBER)
+    wide = F.abs(a.try_cast("double") - b.try_cast("double")) <= F.lit(float(tolerance))
+    if tolerance < SMALLEST_EXACT:
+        return spelled & (wide | (digits(a) == digits(b)))
+    narrow = F.abs(_lossless(a) - _lossless(b)) <= F.lit(f"{tolerance:.18f}").cast(EXACT)
+    return spelled & F.coalesce(narrow, wide)
+
+
 def _numbers_equal(a, a_type, b, b_type, tolerance) -> Column:
-    floating = isinstance(a_type, _FLOATING) or isinstance(b_type, _FLOATING)
-    same_type = type(a_type) is type(b_type)
+    floating = [isinstance(t, _FLOATING) for t in (a_type, b_type)]
+    if type(a_type) is type(b_type) or not any(floating):
+        raw = a.eqNullSafe(b)
+    elif all(floating):  # a float is the number it prints
+        raw = a.cast("string").cast("double").eqNullSafe(b.cast("string").cast("double"))
+    else:
+        raw = (a.isNull() & b.isNull()) | F.coalesce(
+            digits(a.cast("string")) == digits(b.cast("string")), F.lit(False))
     if not tolerance:
-        if not floating or same_type:
-            return a.eqNullSafe(b)
-        ea, eb = exact(a, a_type), exact(b, b_type)
-        # Out of decimal range on either side: fall back to the printed digits.
-        return F.when(ea.isNotNull() & eb.isNotNull(), ea == eb).otherwise(
-            text_of(a, a_type).eqNullSafe(text_of(b, b_type))
-        )
-    near = F.abs(exact(a, a_type) - exact(b, b_type)) <= F.lit(str(tolerance)).cast(EXACT)
-    raw = a.eqNullSafe(b) if (same_type or not floating) else (a.isNull() & b.isNull())
-    # Raw equality first: the decimal subtraction then runs for differing rows only.
+        return raw
+    near = _near(a.cast("string"), b.cast("string"), tolerance)
+    # Raw equality first: the subtraction then runs for differing rows only.
     return F.when(raw, True).otherwise(F.coalesce(near, F.lit(False)))

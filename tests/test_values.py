@@ -35,6 +35,12 @@ EQUAL = [
     ("float", 0.1, "string", "0.1"),
     ("double", 1e25, "double", 1e25),
     ("boolean", True, "boolean", True),
+    ("string", "0.15e1", "string", "1.50"),
+    ("string", "-0.0", "int", 0),
+    ("string", "1" + "0" * 45, "string", "1e45"),
+    ("double", 1e25, "string", "10000000000000000000000000"),
+    ("float", 0.1, "double", 0.1),
+    ("double", 1e-20, "string", "1e-20"),
 ]
 UNEQUAL = [
     ("int", 12000, "int", 10000),
@@ -49,6 +55,11 @@ UNEQUAL = [
     ("string", "1_000", "int", 1000),
     ("int", None, "int", 0),
     ("string", "a b", "string", "ab"),
+    ("string", "0.1234567890123456789", "string", "0.1234567890123456787"),
+    ("double", 1e-20, "string", "0"),
+    ("double", 1e-20, "float", 2e-19),
+    ("string", "1" * 40, "string", "1" * 39 + "2"),
+    ("double", 9007199254740992.0, "bigint", 9007199254740993),
 ]
 
 
@@ -72,6 +83,16 @@ def test_tolerance_is_inclusive(spark):
     assert compare(spark, "string", "12000.004", "decimal(12,2)", Decimal("12000.00"), 0.01)
     assert compare(spark, "decimal(12,2)", Decimal("1.01"), "int", 1, 0.01)
     assert not compare(spark, "int", None, "int", 1, 5)
+    assert compare(spark, "double", 1e21, "double", 1e21 + 131072, 1e9)
+    assert not compare(spark, "double", 1e21, "double", 1e21 + 131072, 1e3)
+    assert not compare(spark, "double", 1e-20, "string", "3e-20", 1e-20)
+    assert compare(spark, "double", 1e-20, "string", "1.5e-20", 1e-20)
+
+
+def test_numbers_out_of_decimal_range_render_whole(spark):
+    df = spark.sql("SELECT 1e-20D AS a, 2e-19D AS b, 1.5D AS c, 1e30D AS d")
+    shown = df.select(*[render(F.col(c), df.schema[c].dataType) for c in "abcd"]).first()
+    assert list(shown) == ["1.0E-20", "2.0E-19", "1.5", "1000000000000000000000000000000"]
 
 
 @pytest.mark.parametrize("type_,value,text", [
