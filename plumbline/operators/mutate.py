@@ -48,12 +48,14 @@ def update_from(
     """
     Update ``columns`` (target name -> source name) from the source row with the
     same key; rows without one are untouched, and a NULL in the source is a value.
+    Of source rows that share a key, the one with the smallest values counts.
     """
-    new = source.select(
+    given = source.select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-        *[F.col(s).alias(f"_new_{t}") for t, s in columns.items()],
-        F.lit(True).alias("_hit"),
+        F.struct(*[F.col(s).alias(f"_new_{t}") for t, s in columns.items()]).alias("_new"),
     )
+    new = given.groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(F.min("_new").alias("_new")).select(
+        *[f"_k{i}" for i in range(len(keys))], "_new.*", F.lit(True).alias("_hit"))
     on = reduce(and_, [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)])
     joined = target.join(new, on, "left")
     return joined.select(
@@ -108,10 +110,10 @@ def with_totals(customers: DataFrame, totals: DataFrame) -> DataFrame:
     )
 
 
-def merge_file_list(old: Column, new: Column, length: int = 500) -> Column:
+def merge_file_list(old: Column, new: Column) -> Column:
     """Comma list of file names with a new name appended once."""
     before = F.filter(F.split(F.coalesce(old, F.lit("")), ", "), lambda f: f != "")
     after = F.when(F.coalesce(new, F.lit("")) != "", F.array(new)).otherwise(
         F.array().cast("array<string>")
     )
-    return F.substring(F.array_join(F.array_distinct(F.concat(before, after)), ", "), 1, length)
+    return F.array_join(F.array_distinct(F.concat(before, after)), ", ")

@@ -103,8 +103,9 @@ def reconcile(
         # The comparisons get a projection of their own, so that they run once and the
         # generated code of each step stays small enough for the JVM to compile.
         flagged = frame.withColumns({f"_d{i}": d for i, d in enumerate(differs)})
+        amiss = [dup_src, dup_tgt, missing, extra, *[F.col(f"_d{i}") for i in range(len(columns))]]
         return (
-            flagged.select(business_key.alias("business_key"),
+            flagged.filter(reduce(or_, amiss)).select(business_key.alias("business_key"),
                            F.explode(F.array(*cases)).alias("f"))
             .filter(F.col("f").isNotNull())
             .select("business_key", "f.*")
@@ -172,25 +173,18 @@ def _by_upper_name(df: DataFrame) -> dict[str, T.StructField]:
 
 
 def _columns_to_compare(src, tgt, keys, compare) -> list[str]:
-    absent = [
-        f"{side} is missing {', '.join(gone)}"
-        for side, cols in (("source", src), ("target", tgt))
-        if (gone := [k for k in keys if k not in cols])
-    ]
-    if absent or not keys:
-        raise ValueError(
-            f"Key column(s) not present in the result set: {'; '.join(absent) or 'none given'}. "
-            f"Source returns [{', '.join(src)}], target returns [{', '.join(tgt)}]."
-        )
-    if not compare:
-        return [c for c in src if c in tgt and c not in keys]
-    wanted = [c.strip().upper() for c in compare]
-    unknown = [c for c in wanted if c not in src or c not in tgt]
-    if unknown:
-        raise ValueError(
-            f"Compare column(s) {', '.join(unknown)} are not returned by both queries."
-        )
-    return wanted
+    """The asked columns, or all shared ones that are not keys; all named must be on both sides."""
+    if not keys:
+        raise ValueError("Matching needs at least one key column.")
+    wanted = [c.strip().upper() for c in compare or ()]
+    lacking = {
+        side: names for side, held in (("source", src), ("target", tgt))
+        if (names := [c for c in [*keys, *wanted] if c not in held])
+    }
+    if lacking:
+        told = ", ".join(f"{side} has no {'/'.join(names)}" for side, names in lacking.items())
+        raise ValueError(f"Both sides need every key and compared column: {told}.")
+    return wanted or [c for c in src if c in tgt and c not in keys]
 
 
 def _key_columns(src, tgt, keys) -> tuple[list[Column], list[Column]]:

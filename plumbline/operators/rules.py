@@ -13,7 +13,6 @@ from plumbline.functions.text import NULL_TEXT, strip
 from plumbline.operators.check import Check
 
 RULE_VIOLATION = "RULE_VIOLATION"
-REASON_LENGTH = 1000
 
 # Result columns with a known meaning, in order of preference.
 ALIASES = {
@@ -48,7 +47,7 @@ def rule_failures(rows: DataFrame, test_name: str) -> DataFrame:
         shown_or("expected_value", "").alias("expected_value"),
         shown_or("actual_value", "").alias("actual_value"),
         F.lit(RULE_VIOLATION).alias("failure_type"),
-        F.substring(reason, 1, REASON_LENGTH).alias("failure_reason"),
+        reason.alias("failure_reason"),
     )
 
 

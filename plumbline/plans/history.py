@@ -2,36 +2,30 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime, time
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.latest import latest_by, latest_execution
 
-HISTORY_LIMIT = 5000
-FAILURE_LIMIT = 2000
-RUNS_LIMIT = 50
 NOT_GOOD = ("FAIL", "ERROR")
 
 
-def day_start(d) -> datetime:
-    if isinstance(d, datetime):
-        return d
-    return datetime.combine(d if isinstance(d, date) else date.fromisoformat(str(d)[:10]), time())
-
+def window_bounds(start, end) -> tuple[Column, Column]:
+    """
+    A window as (first moment, first moment after it).
 
-def day_end(d) -> datetime:
-    """End of the day for a date or a midnight; an explicit time is kept."""
-    start = day_start(d)
-    return start if start.time() != time() else datetime.combine(start.date(), time.max)
+    A last day, or a last moment that is a midnight, takes in the whole of that day; any other
+    last moment is still inside. As text, so that no time zone takes part.
+    """
+    low, last = (F.lit(str(x)).cast("timestamp_ntz") for x in (start, end))
+    next_day = last + F.expr("INTERVAL 1 DAY")
+    just_after = last + F.expr("INTERVAL '0.000001' SECOND")
+    return low, F.when(last == F.date_trunc("day", last).cast("timestamp_ntz"), next_day).otherwise(just_after)
 
 
 def in_window(ts: Column, start, end) -> Column:
-    # As text, so that no time zone takes part in building the literals.
-    low = F.lit(str(day_start(start))).cast("timestamp_ntz")
-    high = F.lit(str(day_end(end))).cast("timestamp_ntz")
-    return (ts >= low) & (ts <= high)
+    low, after = window_bounds(start, end)
+    return (ts >= low) & (ts < after)
 
 
 def in_folder(path: Column, folder: str) -> Column:
@@ -61,11 +55,12 @@ def executions_in(
 
 
 def execution_history(
-    log: DataFrame, start, end, limit: int = HISTORY_LIMIT, **filters
+    log: DataFrame, start, end, limit: int | None = None, **filters
 ) -> DataFrame:
-    """The history page: newest first, a bounded top-k."""
+    """Executions newest first; a page passes how many it shows."""
     newest = [F.col("run_ts").desc_nulls_last(), F.col("execution_id").asc()]
-    return executions_in(log, start, end, **filters).orderBy(*newest).limit(limit)
+    rows = executions_in(log, start, end, **filters).orderBy(*newest)
+    return rows if limit is None else rows.limit(limit)
 
 
 def currently_failing(log: DataFrame, start, end, project: str = "") -> DataFrame:
@@ -76,7 +71,7 @@ def currently_failing(log: DataFrame, start, end, project: str = "") -> DataFram
 
 def failure_detail(
     failures: DataFrame, log: DataFrame | None = None, execution: str = "", test: str = "",
-    run: str = "", limit: int | None = FAILURE_LIMIT,
+    run: str = "", limit: int | None = None,
 ) -> DataFrame:
     """Failure rows of an execution, a test or a run."""
     rows = failures
@@ -210,14 +205,15 @@ def folder_tree(folders: DataFrame, tests: DataFrame) -> DataFrame:
     )
 
 
-def regression_runs(events: DataFrame, log: DataFrame, limit: int = RUNS_LIMIT) -> DataFrame:
+def regression_runs(events: DataFrame, log: DataFrame, limit: int | None = None) -> DataFrame:
     """Start rows with the outcome of what ran under their run id, newest first."""
     done = run_summary(log).join(
         log.groupBy("run_id").agg(F.max("run_ts").alias("last_ts")), "run_id"
     )
     started = latest_by(events, ["regression_id"], [F.col("completed_ts").desc_nulls_last()])
-    return (
+    rows = (
         started.drop("total_tests", "passed_tests", "failed_tests", "error_tests")
         .join(done, "run_id", "left")
-        .orderBy(F.col("started_ts").desc(), "regression_id").limit(limit)
+        .orderBy(F.col("started_ts").desc(), "regression_id")
     )
+    return rows if limit is None else rows.limit(limit)

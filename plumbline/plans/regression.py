@@ -1,15 +1,16 @@
-"""Rerunning saved checks: by selection, by what failed, by folder, or all of them."""
+"""Rerunning saved checks. What a run came to is asked of the run log, never kept beside it."""
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Mapping
-from dataclasses import dataclass, field
+from typing import NamedTuple
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plumbline import schemas
-from plumbline.plans.history import currently_failing, day_end, day_start
+from plumbline.plans import history
 from plumbline.plans.params import run_clock
 from plumbline.plans.rules import Rule
 from plumbline.plans.runner import Result, RunLog, in_folder, run_rules, whole_suite
@@ -18,85 +19,85 @@ from plumbline.plans.runner import Result, RunLog, in_folder, run_rules, whole_s
 FROM_HISTORY, FROM_FOLDER, FROM_SUITE = "EXECUTION_HISTORY", "REGRESSION_FOLDER", "FULL_SUITE"
 
 
-@dataclass
-class Outcome:
+class Started(NamedTuple):
+    """The ids under which a run is logged, and what it executed."""
+
     run_id: str
     regression_id: str
     results: list[Result]
-    skipped: list[tuple[str, str]] = field(default_factory=list)  # test id, why
-
-    def count(self, status: str) -> int:
-        return sum(r.status == status for r in self.results)
 
-    @property
-    def all_passed(self) -> bool:
-        return bool(self.results) and self.count("PASS") == len(self.results)
 
-    @property
-    def pass_pct(self) -> float | None:
-        n = len(self.results)
-        return (self.count("PASS") * 2000 + n) // (2 * n) / 10 if n else None
+def outcome(log: RunLog, run_id: str) -> DataFrame:
+    """Status counts and pass rate of one run; no row when nothing ran under that id."""
+    return history.run_summary(log.executions.filter(F.col("run_id") == run_id))
 
 
-def select(rules: Iterable[Rule], wanted: Iterable[str]) -> tuple[list[Rule], list[tuple]]:
-    """Each wanted id once, at its current definition; and the ids that cannot run."""
-    by_id = {r.test_id: r for r in rules}
-    runnable, skipped = [], []
-    for test_id in dict.fromkeys(t for t in wanted if t):
-        rule = by_id.get(test_id)
-        if rule is None:
-            skipped.append((test_id, "could not be loaded"))
-        elif not rule.active:
-            skipped.append((test_id, "test case is inactive (deleted)"))
-        else:
-            runnable.append(rule)
-    return runnable, skipped
+def selection(spark: SparkSession, rules: Iterable[Rule], wanted: Iterable[str]) -> DataFrame:
+    """What a list of test ids comes to: see ``history.rerun_selection``."""
+    saved = [(r.test_id, r.version, r.active) for r in rules]
+    asked = list(enumerate(wanted))
+    return history.rerun_selection(
+        spark.createDataFrame(asked, "position int, test_case_id string"),
+        spark.createDataFrame(saved, "test_case_id string, version_no int, is_active boolean"),
+    )
 
 
-def _run(
+def _launch(
     spark: SparkSession, chosen: list[Rule], tables: Mapping, batch_id: str, log: RunLog,
     trigger: str, mode: str, folder: str = "", window: tuple | None = None,
     project_id: str = "", executed_by: str = "", **more,
-) -> Outcome:
-    """Log the start, run, log the completion; the start row stands if the run dies."""
+) -> Started:
+    """Log that a run starts, run it, log that it ended; a run that dies keeps its start."""
+    begun = spark.range(1).select(run_clock().alias("t")).first().t
     regression_id = uuid.uuid4().hex
-    started = spark.range(1).select(run_clock().alias("t")).first().t
-    run_id = f"RUN_{started:%Y%m%d_%H%M%S}_{regression_id[:6]}"
-    first, last = (day_start(window[0]), day_end(window[1])) if window else (None, None)
-
-    def row(passed=0, failed=0, errored=0, completed=None):
-        ids = ",".join(r.test_id for r in chosen)[:4000]
-        values = (regression_id, run_id, project_id, folder, trigger, ids, first, last,
-                  len(chosen), passed, failed, errored, started, completed, executed_by)
-        log.append("regression_run", spark.createDataFrame([values], schemas.REGRESSION_RUN))
-
-    row()
+    run_id = f"RUN_{begun:%Y%m%d_%H%M%S}_{regression_id[:6]}"
+    moment = F.lit(None).cast("timestamp_ntz")
+    low, after = history.window_bounds(*window) if window else (moment, moment)
+    start = spark.range(1).select(
+        F.lit(regression_id).alias("regression_id"), F.lit(run_id).alias("run_id"),
+        F.lit(project_id).alias("project_id"), F.lit(folder).alias("folder_path"),
+        F.lit(trigger).alias("triggered_from"),
+        F.lit([r.test_id for r in chosen]).cast("array<string>").alias("selected_test_ids"),
+        low.alias("history_start"), (after - F.expr("INTERVAL '0.000001' SECOND")).alias("history_end"),
+        F.lit(len(chosen)).alias("total_tests"),
+        *[F.lit(0).alias(f"{s}_tests") for s in ("passed", "failed", "error")],
+        F.lit(str(begun)).cast("timestamp_ntz").alias("started_ts"),
+        moment.alias("completed_ts"), F.lit(executed_by).alias("executed_by"),
+    )
+    log.append("regression_run", _shaped(start))
     results = run_rules(spark, chosen, tables, batch_id, log=log, run_id=run_id, run_mode=mode,
                         project_id=project_id, executed_by=executed_by, **more)
-    out = Outcome(run_id, regression_id, results)
-    done = spark.range(1).select(run_clock().alias("t")).first().t
-    row(out.count("PASS"), out.count("FAIL"), out.count("ERROR"), done)
-    return out
+    done = start.join(outcome(log, run_id), "run_id", "left") if results else start
+    counts = {"passed_tests": "passed", "failed_tests": "failed", "error_tests": "errored"}
+    ended = {k: F.col(v) for k, v in counts.items()} if results else {}
+    log.append("regression_run", _shaped(done.withColumns({**ended, "completed_ts": run_clock()})))
+    return Started(run_id, regression_id, results)
+
+
+def _shaped(row: DataFrame) -> DataFrame:
+    kinds = schemas.types(schemas.REGRESSION_RUN)
+    return row.select(*[F.col(c).cast(kind).alias(c) for c, kind in kinds.items()])
 
 
 def rerun(
     spark: SparkSession, rules: Iterable[Rule], wanted: Iterable[str], tables: Mapping,
     batch_id: str, log: RunLog, window: tuple | None = None, **more,
-) -> Outcome:
-    """Rerun selected checks at their current definition."""
-    chosen, skipped = select(rules, wanted)
-    out = _run(spark, chosen, tables, batch_id, log, FROM_HISTORY, "REGRESSION_RERUN",
-               window=window, **more)
-    out.skipped = skipped
-    return out
+) -> Started:
+    """Rerun selected checks once each, at their current definition."""
+    rules = list(rules)
+    known = {r.test_id: r for r in rules}
+    runnable = selection(spark, rules, wanted).filter("skipped IS NULL").orderBy("position")
+    chosen = [known[r.test_case_id] for r in runnable.collect()]  # at most one row per saved check
+    return _launch(spark, chosen, tables, batch_id, log, FROM_HISTORY, "REGRESSION_RERUN",
+                   window=window, **more)
 
 
 def rerun_failing(
     spark: SparkSession, rules: Iterable[Rule], start, end, tables: Mapping, batch_id: str,
     log: RunLog, project_id: str = "", **more,
-) -> Outcome:
+) -> Started:
     """Rerun every check whose last run in the window did not pass."""
-    failing = currently_failing(log.executions, start, end, project_id)
+    failing = history.currently_failing(log.executions, start, end, project_id)
     ids = [r.test_case_id for r in failing.select("test_case_id").orderBy("test_case_id")
            .collect()]  # at most one row per saved check
     return rerun(spark, rules, ids, tables, batch_id, log, (start, end),
@@ -106,17 +107,17 @@ def rerun_failing(
 def run_folder(
     spark: SparkSession, rules: Iterable[Rule], tables: Mapping, batch_id: str, log: RunLog,
     folder: str = "/Regression", **more,
-) -> Outcome:
+) -> Started:
     chosen = in_folder(rules, folder)
     if not chosen:
         raise LookupError(f"There is no folder '{folder}' with active checks")
-    return _run(spark, chosen, tables, batch_id, log, FROM_FOLDER, "REGRESSION_RERUN", folder,
-                **more)
+    return _launch(spark, chosen, tables, batch_id, log, FROM_FOLDER, "REGRESSION_RERUN", folder,
+                   **more)
 
 
 def run_suite(
     spark: SparkSession, rules: Iterable[Rule], tables: Mapping, batch_id: str, log: RunLog,
     regression_only: bool = False, **more,
-) -> Outcome:
-    return _run(spark, whole_suite(rules, regression_only), tables, batch_id, log, FROM_SUITE,
-                "FULL_SUITE", "(all)", **more)
+) -> Started:
+    return _launch(spark, whole_suite(rules, regression_only), tables, batch_id, log, FROM_SUITE,
+                   "FULL_SUITE", "(all)", **more)

@@ -80,31 +80,31 @@ class RunLog:
         rows.write.parquet(f"{self.root}/{name}/{uuid.uuid4().hex}")
 
     def add_failures(self, result: Result, batch_id: str, now: datetime) -> None:
-        """Every failure, clipped to the log's field sizes, written by the executors."""
-        clipped = result.failures.select(
+        """Every failure, whole, written by the executors."""
+        rows = result.failures.select(
             F.uuid().alias("failure_id"),
             F.lit(result.execution_id).alias("execution_id"),
             F.lit(result.rule.test_id).alias("test_case_id"),
             F.lit(batch_id).alias("batch_id"),
-            F.substring("business_key", 1, 500).alias("business_key"),
-            F.substring("column_name", 1, 200).alias("column_name"),
-            F.substring("expected_value", 1, 4000).alias("expected_value"),
-            F.substring("actual_value", 1, 4000).alias("actual_value"),
+            "business_key",
+            "column_name",
+            "expected_value",
+            "actual_value",
             "failure_type",
-            F.substring("failure_reason", 1, 1000).alias("failure_reason"),
+            "failure_reason",
             F.lit(str(now)).cast("timestamp_ntz").alias("failed_ts"),
         )
-        self.append("failure_log", clipped)
+        self.append("failure_log", rows)
 
     def add_executions(
         self, results: list[Result], run_id: str, batch_id: str, now: datetime,
         run_mode: str, project_id: str, executed_by: str,
     ) -> None:
         rows = [
-            (r.execution_id, run_id, r.rule.test_id, r.rule.name[:200], project_id, r.rule.folder,
+            (r.execution_id, run_id, r.rule.test_id, r.rule.name, project_id, r.rule.folder,
              r.rule.version, batch_id, now, r.status, r.source_row_count, r.target_row_count,
              r.matched_record_count, r.failed_record_count, r.duration_ms, run_mode,
-             json.dumps(r.params or {}, default=str)[:8000], r.error_message[:4000], executed_by)
+             json.dumps(r.params or {}, default=str), r.error_message, executed_by)
             for r in results
         ]  # one row per check, never per record
         self.append("execution_log", self.spark.createDataFrame(rows, schemas.EXECUTION_LOG)

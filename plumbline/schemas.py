@@ -99,7 +99,7 @@ FAILURE_LOG = (
 )
 REGRESSION_RUN = (
     "regression_id string, run_id string, project_id string, folder_path string, "
-    "triggered_from string, selected_test_ids string, history_start timestamp_ntz, "
+    "triggered_from string, selected_test_ids array<string>, history_start timestamp_ntz, "
     "history_end timestamp_ntz, total_tests bigint, passed_tests bigint, failed_tests bigint, "
     "error_tests bigint, started_ts timestamp_ntz, completed_ts timestamp_ntz, "
     "executed_by string"

@@ -1,7 +1,8 @@
 """
 Pick up new landing files and stage them, one batch per micro-batch.
 
-The stream's checkpoint remembers which files were read. A batch id is derived
+The stream's checkpoint remembers which files were read. Columns are found by the header of each
+file, so files may order them differently; what is missing rejects the micro-batch. A batch id is derived
 from the micro-batch number and staging replaces a batch, so a micro-batch that is
 replayed after a failure leaves the same rows, once.
 """
@@ -9,9 +10,10 @@ replayed after a failure leaves the same rows, once.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from plumbline.operators.preload import spec_for
@@ -33,10 +35,21 @@ def stage_new_files(
     Stage every file that arrived since the last call, then stop. A rejected
     micro-batch stops the stream unless ``on_rejected`` takes it (batch id, why).
     """
-    # All text, in declared order; the load itself types the columns.
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in spec_for(table).columns])
+    spark = store.spark
+    wanted = spec_for(table).columns
 
-    def load(rows: DataFrame, epoch: int) -> None:
+    def by_header(path: str) -> DataFrame:
+        reader = spark.read.option("header", True).option("escape", '"').options(**csv_options)
+        rows = reader.csv(path)  # all text; the load itself types the columns
+        named = {c.strip().upper(): c for c in rows.columns}
+        return rows.select(*[F.col(f"`{named[c]}`").alias(c) for c in wanted if c in named],
+                           *[F.col(f"`{o}`") for c, o in named.items() if c not in wanted])
+
+    def load(lines: DataFrame, epoch: int) -> None:
+        paths = [r.file_path for r in lines.select("file_path").distinct().collect()]  # new files
+        if not paths:
+            return
+        rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(by_header, sorted(paths)))
         if rows.isEmpty():
             return
         batch_id = f"{prefix}_{epoch:06d}"
@@ -50,10 +63,8 @@ def stage_new_files(
                 raise
             on_rejected(batch_id, str(problem))
 
-    source = store.spark.readStream.schema(schema).option("header", True).option("escape", '"')
-    for key, value in csv_options.items():
-        source = source.option(key, value)
+    lines = spark.readStream.format("text").load(folder).select("_metadata.file_path")
     return (
-        source.csv(folder).writeStream.foreachBatch(load)
+        lines.writeStream.foreachBatch(load)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )

@@ -160,7 +160,7 @@ def queries() -> dict:
         "latest_execution": (lambda f: latest_execution(f.run_log), sql.using(
             "latest_run", f"SELECT {_LOG} FROM latest_run")),
         "execution_history": (
-            lambda f: history.execution_history(f.run_log, START, END, folder="/Regression"),
+            lambda f: history.execution_history(f.run_log, START, END, limit=5000, folder="/Regression"),
             sql.using("run_log", f"SELECT {_LOG} FROM run_log WHERE {_WINDOW} AND {_REG} "
                       "ORDER BY run_ts DESC, execution_id LIMIT 5000")),
         "history_window": (
@@ -184,7 +184,7 @@ def queries() -> dict:
             sql.using("failure_log", "SELECT * FROM failure_log WHERE failed_ts >= TIMESTAMP "
                       "'2024-01-15' AND failed_ts < TIMESTAMP '2024-01-16'")),
         "failure_page": (
-            lambda f: history.failure_detail(f.failure_log),
+            lambda f: history.failure_detail(f.failure_log, limit=2000),
             sql.using("failure_log", "SELECT * FROM failure_log ORDER BY failed_ts DESC, "
                       "business_key, failure_id LIMIT 2000")),
         "latest_failures": (
@@ -201,7 +201,7 @@ def queries() -> dict:
             sql.using("run_log", f"SELECT *, {_PCT} AS pass_pct FROM (SELECT run_id, {_TALLY} "
                       "FROM run_log GROUP BY run_id)")),
         "regression_runs": (
-            lambda f: history.regression_runs(regression_events(f), f.run_log).select(
+            lambda f: history.regression_runs(regression_events(f), f.run_log, limit=50).select(
                 "regression_id", "started_ts", "total", "passed", "failed", "errored",
                 "pass_pct", "last_ts"),
             sql.using("run_log", "SELECT 'REG_' || run_id AS regression_id, started_ts, total, "

@@ -32,11 +32,18 @@ def ids(df, column="execution_id"):
     return sorted(r[column] for r in df.collect())
 
 
-def test_windows_are_inclusive():
-    assert history.day_end("2026-09-01") == datetime(2026, 9, 1, 23, 59, 59, 999999)
-    assert history.day_end(datetime(2026, 9, 1)).hour == 23
-    assert history.day_end(datetime(2026, 9, 1, 8)).hour == 8
-    assert history.day_start(date(2026, 9, 1)) == datetime(2026, 9, 1)
+@pytest.mark.parametrize("end,inside,outside", [
+    ("2026-09-01", "2026-09-01 23:59:59.999999", "2026-09-02"),
+    (datetime(2026, 9, 1), "2026-09-01 23:59:59.999999", "2026-09-02"),
+    (date(2026, 9, 1), "2026-09-01", "2026-08-31 23:59:59.999999"),
+    (datetime(2026, 9, 1, 8), "2026-09-01 08:00:00", "2026-09-01 08:00:00.000001"),
+])
+def test_last_day_is_whole_and_last_moment_inside(spark, end, inside, outside):
+    def holds(moment):
+        ts = F.lit(moment).cast("timestamp_ntz")
+        return spark.range(1).select(history.in_window(ts, date(2026, 9, 1), end)).first()[0]
+
+    assert holds(inside) and not holds(outside)
 
 
 def test_filters(log):
@@ -84,7 +91,7 @@ def test_failures(spark, log):
     assert ids(history.failure_detail(failures, log, run="R1"), "failure_id") == ["f1"]
     assert ids(history.failure_detail(failures, execution="e5"), "failure_id") == [
         "f2", "f3", "f4"]
-    assert history.failure_detail(failures, test="T3").first().failure_id == "f3"
+    assert history.failure_detail(failures, test="T3", limit=1).first().failure_id == "f3"
     top = [tuple(r) for r in history.top_failures(failures, "column_name").collect()]
     assert top == [("PREMIUM_AMOUNT", 3), ("(none)", 1)]
 
@@ -108,9 +115,9 @@ def test_rerun_selection_and_edits(spark, log):
 
 def test_regression_runs(spark, log):
     starts = spark.createDataFrame(
-        [("g1", "R1", "P", "/", "CLI", "T1", None, None, 2, 0, 0, 0,
+        [("g1", "R1", "P", "/", "CLI", ["T1"], None, None, 2, 0, 0, 0,
           datetime(2026, 9, 1), None, "qa"),
-         ("g2", "R2", "P", "/", "CLI", "T1", None, None, 5, 0, 0, 0,
+         ("g2", "R2", "P", "/", "CLI", ["T1"], None, None, 5, 0, 0, 0,
           datetime(2026, 9, 2), None, "qa")], schemas.REGRESSION_RUN)
     got = [(r.regression_id, r.passed, r.failed) for r in
            history.regression_runs(starts, log).collect()]

@@ -82,7 +82,7 @@ def test_keys_of_different_types_match_by_their_text(spark):
 def test_column_choice_and_errors(pair, spark):
     src, tgt = pair
     assert counts(reconcile(src, tgt, ["ID"], ["kind"]))[4] == 2
-    with pytest.raises(ValueError, match="target is missing KEY"):
+    with pytest.raises(ValueError, match="target has no KEY"):
         reconcile(src.withColumnRenamed("ID", "KEY"), tgt, ["KEY"])
     with pytest.raises(ValueError, match="NOPE are not returned"):
         reconcile(src, tgt, ["ID"], ["NOPE"])

@@ -39,3 +39,32 @@ def test_each_arrival_is_staged_once(spark, tmp_path):
     with pytest.raises(Exception, match="PREMIUM_AMOUNT is not a number"):
         run()
     assert store["STG_POLICY"].count() == 20
+
+
+def test_columns_are_found_by_each_file_header(spark, tmp_path):
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    store = TableStore(spark, str(tmp_path / "store"))
+    names = [c.split()[0] for c in ins.POLICY.split(", ")]
+
+    def put(name, order, rows):
+        lines = [",".join(order)]
+        for r in rows:
+            cells = dict(zip(names, r)) | {"EXTRA": "z"}
+            lines.append(",".join("" if cells[c] is None else cells[c] for c in order))
+        (landing / name).write_text("\n".join(lines) + "\n")
+
+    def run(**kw):
+        stage_new_files(store, "STG_POLICY", str(landing), str(tmp_path / "checkpoint"),
+                        "LAND", **kw).awaitTermination()
+        store.refresh()
+
+    put("a.csv", names, ins.policies(3))
+    put("b.csv", [*names[::-1], "EXTRA"], ins.policies()[3:6])
+    run()
+    staged = {r.POLICY_ID: r.CUSTOMER_ID for r in store["STG_POLICY"].collect()}
+    assert staged == {r[0]: r[1] for r in ins.policies(6)}
+    rejected = []
+    put("c.csv", [n for n in names if n != "POLICY_ID"], ins.policies(2))
+    run(on_rejected=lambda batch, why: rejected.append(why))
+    assert len(rejected) == 1 and "POLICY_ID" in rejected[0] and store["STG_POLICY"].count() == 6
