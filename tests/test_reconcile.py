@@ -84,7 +84,7 @@ def test_column_choice_and_errors(pair, spark):
     assert counts(reconcile(src, tgt, ["ID"], ["kind"]))[4] == 2
     with pytest.raises(ValueError, match="target has no KEY"):
         reconcile(src.withColumnRenamed("ID", "KEY"), tgt, ["KEY"])
-    with pytest.raises(ValueError, match="NOPE are not returned"):
+    with pytest.raises(ValueError, match="source has no NOPE, target has no NOPE"):
         reconcile(src, tgt, ["ID"], ["NOPE"])
     assert counts(reconcile(src.select("ID"), tgt.select("ID"), ["ID"])) == ("FAIL", 3, 3, 2, 2)
 
