@@ -6,13 +6,13 @@ Removal of passages that earlier documents hold already, with Aho-Corasick autom
    words is counted instead of every window.
 2. The windows left are confirmed by their own hash: those found in two documents belong to the
    smallest doc_id. Runs of them there are the recurring passages.
-3. Documents and the passages that occur among them are brought together in blocks. Each block compiles an
+3. Documents that hold windows of a smaller doc_id and their passages are brought together in blocks. Each block compiles an
    automaton of the 25-word tiles of its passages (every window of 50 words holds a whole tile) and
    streams its documents through it. A hit is extended word by word to both sides; where 50 words or
    more agree with a passage of a smaller doc_id, they are removed.
 
-Which phrases recur is sent to the tasks as a bit table of fixed size. Its collisions only let
-more windows through to step 2. A block's passages are those its own documents hold, so
+Which phrases recur, and which documents hold confirmed windows, is sent to the tasks as bit tables of
+fixed size. Their collisions only let more windows through to step 2 and more documents to step 3. A block's passages are those its own documents hold, so
 automata are bounded by the block.
 
 Defined results: a null or empty text has no words; a null doc_id is neither smaller nor larger than any,
@@ -77,14 +77,20 @@ def _phrases(docs: DataFrame) -> DataFrame:
 
 def _bit_table(keys: DataFrame) -> np.ndarray:
     """Bits set at the keys' places; at most 2^(BITS - 6) rows come to the driver."""
-    place = F.pmod(F.col("phrase"), F.lit(1 << BITS))
-    rows = keys.select(F.shiftright(place, 6).alias("at"), F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    place = F.pmod(F.col("key"), F.lit(1 << BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(F.lit(63)).cast("int"))
+    rows = keys.select(F.shiftright(place, 6).alias("at"), bit.alias("bit"))
     found = rows.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
     table = np.zeros(1 << (BITS - 6), np.uint64)
     table[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return table
 
 
+def _in_table(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    place = keys & np.uint64((1 << BITS) - 1)
+    return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+
+
 def _candidates(docs: DataFrame, table: np.ndarray) -> DataFrame:
     """(doc_id, text, windows): runs of windows whose phrase may recur, and the windows' hashes."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
@@ -97,9 +103,7 @@ def _candidates(docs: DataFrame, table: np.ndarray) -> DataFrame:
             at, phrase = window_phrases(words, hashes)
             if not len(at):
                 continue
-            place = phrase & np.uint64((1 << BITS) - 1)
-            hit = (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
-            at = at[hit]
+            at = at[_in_table(bits, phrase)]
             if not len(at):
                 continue
             row = words.row_of(at)
@@ -212,7 +216,7 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
     named = texts.filter(F.col("doc_id").isNotNull() & (F.length("text") >= 2 * WINDOW - 1))
     in_two = lambda rows, key: rows.groupBy(key).agg(
         F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last")
-    table = _bit_table(in_two(_phrases(named), "phrase"))
+    table = _bit_table(in_two(_phrases(named), "phrase").withColumnRenamed("phrase", "key"))
     candidates = stored(_candidates(named, table), "candidates")
     windows = candidates.select("doc_id", F.explode("windows").alias("window"))
     confirmed = stored(in_two(windows, "window").select("window", "owner"), "windows")
@@ -222,9 +226,35 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # one number
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BLOCK_BYTES))
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks))
-    routes = windows.join(confirmed.withColumnRenamed("window", "_w"), F.col("window") == F.col("_w")).filter(
-        "owner < doc_id").select(block.alias("block"), F.col("owner").alias("_o")).distinct()
+    hits = stored(windows.join(confirmed.withColumnRenamed("window", "_w"), F.col("window") == F.col("_w")).filter(
+        "owner < doc_id").select("doc_id", F.col("owner").alias("_o")).distinct(), "hits")
+    routes = hits.select(block.alias("block"), "_o").distinct()
     routed = passages.join(routes, F.col("owner") == F.col("_o")).select("block", "owner", F.col("text").alias("passage"))
+    # Documents without a hit, but for collisions, need not meet any passage and stay where they are.
+    keyed = texts.withColumn("key", F.xxhash64("doc_id"))
+    shared = spark.sparkContext.broadcast(_bit_table(hits.select(F.xxhash64("doc_id").alias("key"))))
+
+    def split(wanted: bool):
+        def work(batches):
+            for batch in batches:
+                keys = batch.column("key").to_numpy().view(np.uint64)
+                batch = batch.filter(pa.array(_in_table(shared.value, keys) == wanted))
+                if wanted:
+                    yield batch.select(["doc_id", "text"])
+                else:
+                    for part in slices([batch], "text"):
+                        raw, offsets = text_bytes(part.column("text"))
+                        data = raw.tobytes()
+                        own = [data[a:b].split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+                        yield pa.RecordBatch.from_arrays(
+                            [part.column("doc_id"), pa.array([len(w) for w in own], pa.int64()),
+                             pa.array(np.zeros(len(own), np.int64)), pa.array([b" ".join(w) for w in own], pa.binary())],
+                            ["doc_id", "n_words", "n_removed", "kept"])
+        return work
+
+    result = "doc_id bigint, n_words bigint, n_removed bigint, kept binary"
+    untouched = keyed.mapInArrow(split(False), result)
+    suspected = keyed.mapInArrow(split(True), "doc_id bigint, text string")
 
     def locate(held: pa.Table, patterns: pa.Table) -> pa.Table:
         found = Locator(patterns.column("owner").to_pylist(), patterns.column("passage").combine_chunks())
@@ -244,6 +274,7 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(counts, pa.int64()),
                          "n_removed": pa.array(gone, pa.int64()), "kept": pa.array(kept, pa.binary())})
 
-    return texts.withColumn("block", block).groupBy("block").cogroup(routed.groupBy("block")).applyInArrow(
-        locate, "doc_id bigint, n_words bigint, n_removed bigint, kept binary").withColumn("kept", F.col("kept").cast("string"))
+    located = suspected.withColumn("block", block).groupBy("block").cogroup(routed.groupBy("block")).applyInArrow(
+        locate, result)
+    return untouched.unionByName(located).withColumn("kept", F.col("kept").cast("string"))
 
