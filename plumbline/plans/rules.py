@@ -332,10 +332,11 @@ def _source_to_target() -> list[Rule]:
         known = t["CUSTOMER_360"].select("CUSTOMER_ID").join(
             touched_customers(t, batch), "CUSTOMER_ID", "left_semi"
         )
-        return with_totals(
-            own.unionByName(known).distinct(),
-            customer_totals(t["POLICY_MASTER"], t["CLAIM_MASTER"]),
-        )
+        customers = own.unionByName(known).distinct()
+        # Only what the batch's customers own is summed.
+        policies = t["POLICY_MASTER"].join(customers, "CUSTOMER_ID", "left_semi")
+        claims = t["CLAIM_MASTER"].join(policies.select("POLICY_ID"), "POLICY_ID", "left_semi")
+        return with_totals(customers, customer_totals(policies, claims))
 
     def actual_totals(t, p):
         touched = touched_customers(t, lambda name: batch_of(t, name, p["batch_id"]))

@@ -217,12 +217,21 @@ def _boundary_sql(stg: str, loaded: tuple[str, ...], batch: str) -> str:
 DAYS = ("1997-07-01", "1998-12-31")
 
 
+def _best() -> list:
+    """Which of several rows of one (claim, stamp) counts."""
+    return [F.col(c).desc_nulls_last() for c in (
+        "CLAIM_AMOUNT", "CUSTOMER_ID", "APPROVED_AMOUNT", "CLAIM_STATUS", "INCIDENT_TYPE")]
+
+
 def claim_history(feed: Feed) -> DataFrame:
     """Every delivered version of every claim, one per (claim, stamp)."""
-    best = [F.col(c).desc_nulls_last() for c in (
-        "CLAIM_AMOUNT", "CUSTOMER_ID", "APPROVED_AMOUNT", "CLAIM_STATUS", "INCIDENT_TYPE")]
-    once = latest_by(feed.claim_versions, ["CLAIM_ID", "LAST_UPDATED_TS"], best)
-    return mapping.map_claim(once)
+    return mapping.map_claim(latest_by(feed.claim_versions, ["CLAIM_ID", "LAST_UPDATED_TS"], _best()))
+
+
+def latest_claims(feed: Feed) -> DataFrame:
+    """Each claim's latest version, picked in one ranking by stamp and then as in ``claim_history``."""
+    order = [F.col("LAST_UPDATED_TS").desc_nulls_last(), *_best()]
+    return mapping.map_claim(latest_by(feed.claim_versions, ["CLAIM_ID"], order))
 
 
 def historical_claims(feed: Feed):
@@ -231,7 +240,8 @@ def historical_claims(feed: Feed):
     Curated never received the last batch, and one day's statuses are wrong.
     """
     versions = claim_history(feed)
-    source = mapping.claim_rows(rules.latest_in_window(versions, "CLAIM_ID", *DAYS))
+    source = mapping.claim_rows(latest_claims(feed).filter(
+        rules.in_days(F.col("RECORD_EFFECTIVE_TS"), *DAYS)))
     curated = mapping.claim_rows(latest_version(of(versions, B1, B2), "CLAIM_ID"))
     target = curated.filter(rules.in_days(F.col("LAST_UPDATED_TS"), *DAYS)).withColumn(
         "CLAIM_STATUS", F.when(F.dayofmonth("CLAIM_DATE") == WRONG, "Pending")
@@ -480,7 +490,7 @@ def queries() -> dict:
                             DQ_WATERMARK=lambda f: marks_after(f, B1, B2))(f).frame,
             sql.using("trn_customer trn_policy trn_claim", _marks_sql(B1, B2))),
         "latest_version": (
-            lambda f: latest_version(claim_history(f), "CLAIM_ID").select(*version_cols),
+            lambda f: latest_claims(f).select(*version_cols),
             sql.using("claim_versions", f"SELECT {', '.join(version_cols)} FROM newest",
                       history=history, newest=newest)),
         "historical_claims": (
