@@ -60,8 +60,21 @@ def exact(c: Column, dt: T.DataType) -> Column:
 
 
 def _lossless(text: Column, into: str = EXACT) -> Column:
-    fits = text.try_cast(into)
-    return F.when(digits(fits.cast("string")) == digits(text), fits)
+    def fits(t: Column) -> Column:
+        return F.when(digits(t.try_cast(into).cast("string")) == digits(t), t.try_cast(into))
+
+    return F.get(F.transform(F.array(text), fits), F.lit(0))
+
+
+def _same_digits(a: Column, b: Column) -> Column:
+    """
+    Whether two texts spell the same number; NULL when one spells none.
+
+    Written over an array of one pair: the long comparison then stays out of the generated code of
+    the rows around it, which would grow too large to compile.
+    """
+    pair = F.array(F.struct(a.alias("a"), b.alias("b")))
+    return F.exists(pair, lambda p: digits(p["a"]) == digits(p["b"]))
 
 
 def digits(text: Column) -> Column:
@@ -163,7 +176,7 @@ def _text_equals(text: Column, other: Column, other_type: T.DataType, tolerance)
     else:
         return text.isNull() & other.isNull()
     if o is not None:
-        same.append(_near(s, o, tolerance) if tolerance else digits(s) == digits(o))
+        same.append(_near(s, o, tolerance) if tolerance else _same_digits(s, o))
     spelled = reduce(or_, [F.coalesce(c, F.lit(False)) for c in same])
     both_null = text.isNull() & other.isNull()
     # Identical text needs no parsing, and most values are identical.
@@ -182,7 +195,7 @@ def _near(a: Column, b: Column, tolerance) -> Column:
     spelled = a.rlike(NUMBER) & b.rlike(NUMBER)
     wide = F.abs(a.try_cast("double") - b.try_cast("double")) <= F.lit(float(tolerance))
     if tolerance < SMALLEST_EXACT:
-        return spelled & (wide | (digits(a) == digits(b)))
+        return spelled & (wide | _same_digits(a, b))
     narrow = F.abs(_lossless(a) - _lossless(b)) <= F.lit(f"{tolerance:.18f}").cast(EXACT)
     return spelled & F.coalesce(narrow, wide)
 
@@ -195,7 +208,7 @@ def _numbers_equal(a, a_type, b, b_type, tolerance) -> Column:
         raw = a.cast("string").cast("double").eqNullSafe(b.cast("string").cast("double"))
     else:
         raw = (a.isNull() & b.isNull()) | F.coalesce(
-            digits(a.cast("string")) == digits(b.cast("string")), F.lit(False))
+            _same_digits(a.cast("string"), b.cast("string")), F.lit(False))
     if not tolerance:
         return raw
     near = _near(a.cast("string"), b.cast("string"), tolerance)
