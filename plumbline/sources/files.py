@@ -3,7 +3,7 @@ A folder of delimited, JSON and Parquet files as a set of tables.
 
 File names, headers and per-file facts are handled on the driver; file contents
 are only ever read by Spark. One splittable pass over all delimited files finds
-what each needs (encoding, quoted line breaks), instead of opening them one by one.
+what each needs (encoding, quoted line breaks); heads and column types then take jobs per file.
 """
 
 from __future__ import annotations
