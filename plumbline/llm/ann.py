@@ -50,8 +50,8 @@ def usable(vector: Column) -> Column:
 def neighbours(x: np.ndarray, queries: np.ndarray, k: int) -> np.ndarray:
     """Rows of ``x`` with the largest inner products to the rows numbered ``queries``, without themselves."""
     out = []
-    for at in range(0, len(queries), 512):
-        own = queries[at : at + 512]
+    for at in range(0, len(queries), 128):
+        own = queries[at : at + 128]
         score = x[own] @ x.T
         score[np.arange(len(own)), own] = -np.inf
         out.append(np.argpartition(-score, min(k, len(x) - 1) - 1, axis=1)[:, :k])
