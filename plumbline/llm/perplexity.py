@@ -30,6 +30,7 @@ ORDER = 5
 SPREAD = (4.0, 3.0)  # below and above
 MIN_WORDS = 50
 BROADCAST_ENTRIES = 4_000_000  # about 40 bytes each while they are gathered
+SLICE_BYTES = 2 << 20  # of text; about 100 bytes of arrays for each
 SYMBOLS = b"#*$%&|<>"
 
 _SYMBOL = np.zeros(256, bool)
@@ -120,7 +121,7 @@ def count_grams(docs: DataFrame, order: int = ORDER, text: str = "text", lang: s
                     [pa.array([key] * 1, pa.string()).take(pa.array(np.zeros(len(codes), np.int32))),
                      pa.array(codes.astype(np.int64)), pa.array(counts)], ["lang", "code", "n"])
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             langs = batch.column("lang").dictionary_encode()
             raw, offsets = text_bytes(batch.column("text"))
             codes = byte_grams(raw, offsets, order)
@@ -135,7 +136,7 @@ def count_grams(docs: DataFrame, order: int = ORDER, text: str = "text", lang: s
                     merged = _merged(parts)
                     size += len(merged[0]) - sum(len(c) for c, _ in parts)
                     held[key] = [merged]
-            if size > 6_000_000:  # bounds a worker's memory; Spark adds up what was sent
+            if size > 2_000_000:  # bounds a worker's memory; Spark adds up what was sent
                 yield from emit()
                 held, size = {}, 0
         yield from emit()
@@ -293,7 +294,7 @@ def measures(docs: DataFrame, model: DataFrame, order: int = ORDER, id: str = "d
 
     def measure(batches):
         known = shared.value
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             raw, offsets = text_bytes(batch.column("text"))
             loglik = np.zeros(batch.num_rows)
             if known is not None:
@@ -325,7 +326,7 @@ def _joined_scores(measured: DataFrame, rows: DataFrame, model: DataFrame, order
     """Log probabilities by joins, for a model too large to send to every worker."""
 
     def grams(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             raw, offsets = text_bytes(batch.column("text"))
             codes = byte_grams(raw, offsets, order)
             for i in range(batch.num_rows):
