@@ -5,7 +5,7 @@ A modified Kneser-Ney model over UTF-8 bytes is counted by Spark for each langua
 of every document. Its entries are kept as sorted arrays of integer keys (language, order, bytes), in
 which a document's n-grams are looked up by binary search. A document whose perplexity lies
 outside its language's band is rejected. The band comes from the histogram of all documents
-that pass the base rules: quartiles widened by multiples of their distance, ``SPREAD``.
+that pass the base rules, copies counting once: quartiles widened by multiples of their distance, ``SPREAD``.
 
 Bytes instead of words keep the number of distinct n-grams small against the text, so that counting
 moves far less than the corpus; the counts still come from all of it. The model is broadcast only up
@@ -27,7 +27,7 @@ from plumbline.llm.words import Words, mixed, slices, text_bytes
 from plumbline.session import scratch
 
 ORDER = 5
-SPREAD = (4.0, 3.0)  # below and above
+SPREAD = (3.0, 2.0)  # below and above; the README has what each rejects of poor and good documents
 MIN_WORDS = 50
 BROADCAST_ENTRIES = 4_000_000  # about 40 bytes each while they are gathered
 SLICE_BYTES = 2 << 20  # of text; about 100 bytes of arrays for each
@@ -362,7 +362,10 @@ def _joined_scores(measured: DataFrame, rows: DataFrame, model: DataFrame, order
 
 def bands(scored: DataFrame, spread: tuple[float, float] = SPREAD) -> DataFrame:
     """(lang, low, high): limits of the bits per byte, from a histogram in steps of 1/256 bit."""
-    step = scored.filter(~F.col("base_failed") & F.col("bits").isNotNull()).groupBy(
+    # Copies have equal measures, but for the last digits of their bits.
+    once = scored.filter(~F.col("base_failed") & F.col("bits").isNotNull()).groupBy(
+        "lang", "n_bytes", "n_words", "word_chars", F.round("bits", 6)).agg(F.min("bits").alias("bits"))
+    step = once.groupBy(
         "lang", F.floor(F.col("bits") * 256).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     # At most 256 times the largest bits per byte rows for each language.
     gathered = step.groupBy("lang").agg(

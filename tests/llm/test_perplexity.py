@@ -65,3 +65,21 @@ def test_odd_rows(spark, nasty):
         assert (o.n_words, o.word_chars, o.n_symbols, o.n_dup_lines, o.n_repeat_words, o.base_failed) == brute.base_quality(r.text)
         assert o.perplexity is not None or not r.text
     assert perplexity.quality(nasty.limit(0)).count() == 0
+
+
+def test_junk_is_rejected(spark):
+    folder = "/root/testdata/sf0.01"
+    rows = perplexity.quality(spark.read.parquet(f"{folder}/documents.parquet")).join(
+        spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").filter("not base_failed").select("quality", "kept").collect()
+    poor, good = ([r.kept for r in rows if r.quality == q] for q in (0, 1))
+    assert poor.count(False) >= 0.2 * len(poor) > 0, (poor.count(False), len(poor))
+    assert good.count(False) <= 0.02 * len(good), (good.count(False), len(good))
+
+
+def test_copies_do_not_narrow_the_band(spark):
+    rows = [(i, "en", 1000 + i, 200, 800, 4.0 + i / 100, False) for i in range(101)]
+    schema = "doc_id long, lang string, n_bytes long, n_words long, word_chars long, bits double, base_failed boolean"
+    once = spark.createDataFrame(rows, schema)
+    many = once.unionByName(spark.createDataFrame([rows[50]] * 900, schema))
+    assert perplexity.bands(many).collect() == perplexity.bands(once).collect()
+    assert 4.75 < perplexity.bands(once).first().high < 4.75 + 3 * 0.5
