@@ -289,6 +289,10 @@ def measures(docs: DataFrame, model: DataFrame, order: int = ORDER, id: str = "d
     measured = ("doc_id bigint, lang string, n_words bigint, word_chars bigint, n_symbols bigint, "
                 "n_dup_lines bigint, n_repeat_words bigint, n_bytes bigint, loglik double")
     small = model.count() <= entries
+    if not small:  # the joins need a key of each row, the same in both passes: ids may repeat or be null
+        rows.withColumn("row", F.monotonically_increasing_id()).write.parquet(
+            path := scratch(docs.sparkSession, "keyed-documents"))
+        rows, measured = docs.sparkSession.read.parquet(path), f"row bigint, {measured}"
     table = SortedModel(model.toArrow(), order) if small else None
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
@@ -310,11 +314,12 @@ def measures(docs: DataFrame, model: DataFrame, order: int = ORDER, id: str = "d
                 running = np.concatenate([[0.0], np.cumsum(each)])
                 loglik = running[offsets[1:]] - running[offsets[:-1]]
             found = base_measures(batch, "text")
+            own = [c for c in ("row", "doc_id", "lang") if c in batch.schema.names]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("lang"),
+                [*[batch.column(c) for c in own],
                  *[pa.array(v.astype(np.int64)) for v in found.values()],
                  pa.array(np.diff(offsets)), pa.array(loglik)],
-                ["doc_id", "lang", *found, "n_bytes", "loglik"])
+                [*own, *found, "n_bytes", "loglik"])
 
     out = rows.mapInArrow(measure, measured)
     if small:
@@ -334,10 +339,10 @@ def _joined_scores(measured: DataFrame, rows: DataFrame, model: DataFrame, order
                 if len(mine):
                     row = pa.array(np.zeros(len(mine), np.int32))
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").slice(i, 1).take(row), batch.column("lang").slice(i, 1).take(row),
-                         pa.array(mine.astype(np.int64)), pa.array(n.astype(np.int64))], ["doc_id", "lang", "code", "n"])
+                        [batch.column("row").slice(i, 1).take(row), batch.column("lang").slice(i, 1).take(row),
+                         pa.array(mine.astype(np.int64)), pa.array(n.astype(np.int64))], ["row", "lang", "code", "n"])
 
-    todo = rows.mapInArrow(grams, "doc_id bigint, lang string, code bigint, n bigint").withColumn(
+    todo = rows.mapInArrow(grams, "row bigint, lang string, code bigint, n bigint").withColumn(
         "owed", F.lit(0.0)
     )
     done = None
@@ -349,15 +354,16 @@ def _joined_scores(measured: DataFrame, rows: DataFrame, model: DataFrame, order
         todo = todo.withColumn("code", F.col("code").bitwiseAND(F.lit((1 << (8 * k)) - 1)))
         found = todo.join(known, F.col("lang").eqNullSafe(F.col("_l")) & (F.col("code") == F.col("_c")), "left")
         part = found.filter(F.col("logp").isNotNull()).select(
-            "doc_id", (F.col("n") * (F.col("logp") + F.col("owed"))).alias("loglik"))
+            "row", (F.col("n") * (F.col("logp") + F.col("owed"))).alias("loglik"))
         done = part if done is None else done.unionByName(part)
         todo = found.filter(F.col("logp").isNull()).join(
             steps,
             F.col("lang").eqNullSafe(F.col("_m")) & (F.shiftrightunsigned("code", 8) == F.col("_x")), "left",
-        ).select("doc_id", "lang", "code", "n", (F.col("owed") + F.coalesce("backoff", F.lit(0.0))).alias("owed"))
-    rest = todo.select("doc_id", (F.col("n") * (F.col("owed") - F.lit(float(np.log(256))))).alias("loglik"))
-    scores = done.unionByName(rest).groupBy(F.col("doc_id").alias("_d")).agg(F.sum("loglik").alias("loglik"))
-    return measured.drop("loglik").join(scores, F.col("doc_id").eqNullSafe(F.col("_d")), "left").drop("_d")
+        ).select("row", "lang", "code", "n", (F.col("owed") + F.coalesce("backoff", F.lit(0.0))).alias("owed"))
+    rest = todo.select("row", (F.col("n") * (F.col("owed") - F.lit(float(np.log(256))))).alias("loglik"))
+    scores = done.unionByName(rest).groupBy(F.col("row").alias("_r")).agg(F.sum("loglik").alias("loglik"))
+    return measured.drop("loglik").join(scores, F.col("row") == F.col("_r"), "left").drop("row", "_r").withColumn(
+        "loglik", F.coalesce("loglik", F.lit(0.0)))
 
 
 def bands(scored: DataFrame, spread: tuple[float, float] = SPREAD) -> DataFrame:

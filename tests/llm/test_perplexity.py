@@ -83,3 +83,14 @@ def test_copies_do_not_narrow_the_band(spark):
     many = once.unionByName(spark.createDataFrame([rows[50]] * 900, schema))
     assert perplexity.bands(many).collect() == perplexity.bands(once).collect()
     assert 4.75 < perplexity.bands(once).first().high < 4.75 + 3 * 0.5
+
+
+def test_joined_scores_of_repeated_and_null_ids(spark):
+    texts = ["abracadabra abra", "banana band", "dab a cab " * 9, "cabbage", "aaaa", "aaaa", ""]
+    ids = [1, 1, 1, None, None, 2, 2]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in zip(ids, texts)], "doc_id long, text string, lang string")
+    model = perplexity.kneser_ney(perplexity.count_grams(docs, 3), 3).cache()
+    found = [sorted((r.doc_id or 0, r.n_bytes, round(r.loglik, 3)) for r in perplexity.measures(docs, model, 3, **how).collect())
+             for how in ({}, {"entries": 0})]
+    assert [f[:2] for f in found[0]] == [f[:2] for f in found[1]]
+    assert all(abs(a[2] - b[2]) < 2e-3 for a, b in zip(*found))
