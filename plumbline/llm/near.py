@@ -74,21 +74,50 @@ def signatures(value: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _digests(value: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size and two 64-bit digests of each row's shingle set."""
+    n = np.diff(bounds)
+    full = np.flatnonzero(n)
+    d1, d2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+    if len(full):
+        starts = bounds[:-1][full]
+        d1[full] = np.add.reduceat(mixed(value), starts)
+        d2[full] = np.add.reduceat(mixed(value ^ np.uint64(0x5851F42D4C957F2D)), starts)
+    return n, d1, d2
+
+
+def _classed(texts: DataFrame) -> DataFrame:
+    """(n, d1, d2, text) of documents with a shingle, at least one for each set; a task sends each set once."""
+
+    def digest(batches):
+        sent: set[tuple] = set()
+        for batch in slices(batches, "text"):
+            n, d1, d2 = _digests(*shingle_sets(batch.column("text")))
+            new = []
+            for i, key in enumerate(zip(n.tolist(), d1.tolist(), d2.tolist())):
+                if key[0] and key not in sent:
+                    sent.add(key)
+                    new.append(i)
+            if new:
+                at = np.array(new)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(n[at].astype(np.int64)), pa.array(d1[at].view(np.int64)), pa.array(d2[at].view(np.int64)),
+                     batch.column("text").take(pa.array(at))], ["n", "d1", "d2", "text"])
+
+    return texts.select("text").mapInArrow(digest, "n bigint, d1 bigint, d2 bigint, text string")
+
+
 def _sketches(docs: DataFrame) -> DataFrame:
     """(doc_id, n, d1, d2, sig) of every document; sig is NULL without shingles."""
 
     def sketch(batches):
         for batch in slices(batches, "text"):
             value, bounds = shingle_sets(batch.column("text"))
-            n = np.diff(bounds)
+            n, d1, d2 = _digests(value, bounds)
             full = np.flatnonzero(n)
-            d1, d2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
             sig: list = [None] * len(n)
             if len(full):
-                starts = bounds[:-1][full]
-                d1[full] = np.add.reduceat(mixed(value), starts)
-                d2[full] = np.add.reduceat(mixed(value ^ np.uint64(0x5851F42D4C957F2D)), starts)
-                for i, row in zip(full, signatures(value, starts)):
+                for i, row in zip(full, signatures(value, bounds[:-1][full])):
                     sig[i] = row.tobytes()
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(d1.view(np.int64)),
@@ -250,8 +279,11 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, id: str = "doc_id", text
     sizes = clusters.groupBy(F.col("root").alias("_root")).agg(F.count(F.lit(1)).alias("size"))
     suspects = clusters.join(sizes, F.col("root") == F.col("_root")).select(
         F.col("node").alias("k"), F.col("root").alias("cluster"), "size")
-    suspects = suspects.join(classes.select(F.col("k").alias("_k"), "rep", "copies"), F.col("k") == F.col("_k")).drop("_k")
-    found = texts.join(suspects, F.col("doc_id").eqNullSafe(F.col("rep"))).select("k", "cluster", "size", "copies", "text")
+    suspects = suspects.join(classes.select(F.col("k").alias("_k"), "copies"), F.col("k") == F.col("_k")).drop("_k")
+    # One text for each class, found by the digest its rows are classed by: ids may repeat or be null.
+    keyed = _classed(texts).withColumn("_k", F.xxhash64("n", "d1", "d2"))
+    found = suspects.join(keyed, F.col("k") == F.col("_k")).groupBy("k").agg(
+        *[F.first(c).alias(c) for c in ("cluster", "size", "copies", "text")])
 
     def sets(batches):
         for batch in slices(batches, "text"):
@@ -265,8 +297,6 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, id: str = "doc_id", text
 
     def verify(table: pa.Table) -> pa.Table:
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        _, once = np.unique(table.column("k").to_numpy(), return_index=True)  # rows that repeat an id
-        table = table.take(pa.array(once))
         k, side, copies = (table.column(c).to_numpy() for c in ("k", "c", "copies"))
         held = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
         first, second = np.flatnonzero(side == i), np.flatnonzero(side == j)

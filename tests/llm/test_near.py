@@ -77,3 +77,16 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)]
     got = {r.node: r.root for r in near.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_different_texts_that_share_an_id(spark):
+    base, other = ([f"{c}{i}" for i in range(60)] for c in "ab")
+    near_base, near_other = (w[:-1] + ["changed"] for w in (base, other))
+    for shared in (1, None):
+        docs = [(shared, " ".join(base)), (shared, " ".join(other)), (5, " ".join(near_base)), (6, " ".join(near_other))]
+        frame = spark.createDataFrame(docs, "doc_id long, text string")
+        got = sorted((r.doc_id or 0, r.class_id, r.n_links) for r in near.join(frame).collect())
+        if shared:
+            assert got == [(1, 1, 1), (1, 1, 1), (5, 1, 1), (6, 1, 1)]
+        else:
+            assert got == [(0, 5, 1), (0, 6, 1), (5, 5, 1), (6, 6, 1)]
