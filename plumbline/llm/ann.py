@@ -175,6 +175,8 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id: str = "vec_id",
            block: int = BLOCK, **settings) -> DataFrame:
     """
     (query_id, rank, vec_id, score): the ``k`` nearest found of each row for which ``queries`` holds.
+
+    Rows that repeat an id and its vector are one query; an id with several vectors has a ranking for each.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id).cast("bigint").alias("id"), F.col(vector).alias("vector"),
@@ -201,9 +203,13 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id: str = "vec_id",
     rows.mapInArrow(route, f"id bigint, vector {kind}, asks boolean, parts array<int>").write.parquet(
         path := scratch(spark, "vectors"))
     routed = spark.read.parquet(path)
+    # Equal vectors have equal parts. The number of a query has to be the same in every pass.
+    routed.filter("asks").groupBy("id", "vector").agg(F.first("parts").alias("parts")).withColumn(
+        "query", F.monotonically_increasing_id()).write.parquet(asking := scratch(spark, "queries"))
+    asking = spark.read.parquet(asking)
     # One row per part: how many blocks of rows and chunks of queries it is searched in.
     held = routed.select(F.col("parts")[0].alias("part"), F.lit(1).alias("rows"), F.lit(0).alias("asked"))
-    asked = routed.filter("asks").select(F.explode("parts").alias("part"), F.lit(0).alias("rows"), F.lit(1).alias("asked"))
+    asked = asking.select(F.explode("parts").alias("part"), F.lit(0).alias("rows"), F.lit(1).alias("asked"))
     size = held.unionByName(asked).groupBy("part").agg(
         F.ceil(F.sum("rows") / block).alias("blocks"), F.ceil(F.sum("asked") / block).alias("chunks"))
     size.write.parquet(sizes := scratch(spark, "part-sizes"))
@@ -211,19 +217,20 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id: str = "vec_id",
     base = routed.select("id", "vector", F.col("parts")[0].alias("part")).join(size(), F.col("part") == F.col("_part")).select(
         "id", "vector", "part", F.pmod(F.xxhash64("id", F.lit(1)), "blocks").alias("block"),
         F.explode(F.sequence(F.lit(1), F.greatest("chunks", F.lit(1)))).alias("chunk"))
-    ask = spark.read.parquet(path).filter("asks").select("id", "vector", F.explode("parts").alias("part")).join(
+    ask = asking.select("query", "id", "vector", F.explode("parts").alias("part")).join(
         size(), F.col("part") == F.col("_part")).filter("blocks > 0").select(
-        "id", "vector", "part", (F.pmod(F.xxhash64("id", F.lit(2)), "chunks") + 1).alias("chunk"),
+        "query", "id", "vector", "part", (F.pmod(F.xxhash64("query", F.lit(2)), "chunks") + 1).alias("chunk"),
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     keys = ["part", "block", "chunk"]
 
     def rank(asked: pa.Table, held: pa.Table) -> pa.Table:
-        found = ([], [], [])
+        found = ([], [], [], [])
         if asked.num_rows and held.num_rows:
             ids = held.column("id").to_numpy()
             order = np.argsort(ids, kind="stable")
             ids, x = ids[order], _matrix(held.column("vector"))[order]
             asks, q = asked.column("id").to_numpy(), _matrix(asked.column("vector"))
+            number = asked.column("query").to_numpy()
             for at in range(0, len(asks), 256):
                 score = q[at : at + 256] @ x.T
                 score[asks[at : at + 256, None] == ids[None, :]] = -np.inf
@@ -234,15 +241,16 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id: str = "vec_id",
                     found[0].append(np.full(len(near), asks[at + i]))
                     found[1].append(ids[near])
                     found[2].append(line[near])
+                    found[3].append(np.full(len(near), number[at + i]))
         parts = [np.concatenate(f) if f else np.zeros(0) for f in found]
         return pa.table({"query_id": pa.array(parts[0].astype(np.int64)), "vec_id": pa.array(parts[1].astype(np.int64)),
-                         "score": pa.array(parts[2].astype(np.float64))})
+                         "score": pa.array(parts[2].astype(np.float64)), "query": pa.array(parts[3].astype(np.int64))})
 
     found = ask.groupBy(*keys).cogroup(base.groupBy(*keys)).applyInArrow(
-        rank, "query_id bigint, vec_id bigint, score double")
+        rank, "query_id bigint, vec_id bigint, score double, query bigint")
     found.createOrReplaceTempView(view := f"near_{scratch(spark, 'v')[-12:]}")
     ranked = spark.sql(
         f"SELECT query_id, cast(rank AS int) AS rank, vec_id, score FROM (SELECT *, row_number() OVER "
-        f"(PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM {view}) WHERE rank <= {int(k)}")
+        f"(PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM {view}) WHERE rank <= {int(k)}")
     spark.catalog.dropTempView(view)
     return ranked

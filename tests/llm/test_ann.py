@@ -68,3 +68,17 @@ def test_odd_rows(spark):
     for q in got:
         assert [s for _, s in got[q]] == [s for _, s in want[q]]
     assert ann.search(frame.limit(0), ann.F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_repeated_queries_and_candidates(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(200, 8)))]
+    asks = ann.F.col("vec_id") % 20 == 0
+    frame = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    plain = found(ann.search(frame(rows), asks).collect())
+    assert found(ann.search(frame(rows + [rows[0]] * 2), asks).collect())[0] == plain[0]
+    nearest = plain[0][0][0]
+    twice = found(ann.search(frame(rows + [rows[nearest]]), asks).collect())[0]
+    assert [j for j, _ in twice] == [nearest] + [j for j, _ in plain[0]][:19]
+    other = ann.search(frame(rows + [(0, rng.normal(size=8).tolist())]), asks).filter("query_id = 0").collect()
+    assert sorted(r["rank"] for r in other) == sorted(2 * list(range(1, 21)))
