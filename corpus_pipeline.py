@@ -3,6 +3,9 @@ The training-data pipeline: quality rules, near duplicates, personal data, mixin
 
 Each stage takes (spark, docs, sf_dir) and works on all rows the stage before it kept. All but the last
 return the columns of ``documents``; a document that the mix takes three times comes three times.
+
+A stage that chooses rows first stores them with a key of their own, by which the operator's findings come back to
+them: different documents may share a doc_id or have none, and each is judged by its own text.
 """
 
 from __future__ import annotations
@@ -15,17 +18,27 @@ from plumbline.llm.queries import packing_digest, vocabulary
 from plumbline.session import scratch
 
 
+def _keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The rows with a stored number of their own, ``_row``."""
+    docs.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path := scratch(spark, "keyed"))
+    return spark.read.parquet(path)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or leave their language's perplexity band go."""
-    kept = perplexity.quality(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*docs.columns)
+    keyed = _keyed(spark, docs)
+    kept = perplexity.quality(keyed, id="_row").filter("kept").select(F.col("doc_id").alias("_kept"))
+    return keyed.join(kept, F.col("_row") == F.col("_kept"), "left_semi").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays."""
-    kept = near.join(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(
-        F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
+    """Of each group of linked documents the one with the smallest doc_id stays, of equal ones any one."""
+    keyed = _keyed(spark, docs)
+    linked = near.join(keyed, id="_row").select(F.col("doc_id").alias("_linked"), "class_id")
+    named = linked.join(keyed.select("_row", "doc_id"), F.col("_row") == F.col("_linked"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "_row"))  # a null id comes last
+    kept = named.groupBy("class_id").agg(first.alias("first")).select(F.col("first._row").alias("_kept"))
+    return keyed.join(kept, F.col("_row") == F.col("_kept"), "left_semi").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +51,10 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    taken = mixing.mix_sources(docs).filter("taken > 0").select(
-        F.col("doc_id").alias("_taken"), (F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    times = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_taken")))
+    keyed = _keyed(spark, docs)
+    taken = mixing.mix_sources(keyed, keep=("_row",)).filter("taken > 0").select(
+        F.col("_row").alias("_taken"), (F.col("taken") / F.col("size")).cast("int").alias("_times"))
+    times = keyed.join(taken, F.col("_row") == F.col("_taken"))
     return times.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -66,3 +68,18 @@ def test_run_and_odd_rows(spark, nasty):
             held = stage(spark, held, FOLDER)
             held = spark.createDataFrame(held.collect(), held.schema)
         assert (held.count() > 0) == (docs_in.count() > 0)
+
+
+def test_rows_that_share_an_id(spark):
+    words = lambda c: " ".join(f"{c}{i}" for i in range(80))
+    rows = [(1, words("a")), (1, words("b")), (None, words("c")), (None, words("d")), (2, words("a")), (3, "too short"), (1, "no")]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars int")
+    texts = lambda frame: sorted(r.text for r in frame.collect())
+    good = corpus_pipeline.quality_rules(spark, docs, FOLDER)
+    assert not {"too short", "no"} & set(texts(good))
+    left = corpus_pipeline.near_duplicates(spark, docs, FOLDER).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in left) == sorted((i or 0, t) for i, t in rows if i != 2)
+    some = spark.createDataFrame(left, docs.schema)
+    assert set(texts(corpus_pipeline.mixed_sources(spark, some, FOLDER))) <= set(texts(some))
+    assert max(Counter(texts(corpus_pipeline.mixed_sources(spark, some, FOLDER))).values()) <= 3
