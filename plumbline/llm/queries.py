@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann, chat, fixity, mixing, near, packing, passages, perplexity, pii, sharding
+from plumbline.llm import (
+    ann, chat, divergence, fixity, mixing, near, packing, passages, perplexity, pii, sharding, suffixes, variants,
+)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -151,8 +154,120 @@ def op10_learned_partitions(spark: SparkSession, folder: str) -> DataFrame:
     return ann.search(_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(_table(spark, folder, "documents"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), o AS (SELECT r, lang, source, unnest(terms) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT o.lang, o.source, o.term, count(*) AS n FROM o JOIN k ON o.lang = k.lang AND o.term = k.term GROUP BY ALL),
+v AS (SELECT lang, count(*)::HUGEINT AS V, sum(n)::HUGEINT AS M FROM k GROUP BY lang),
+t AS (SELECT lang, source, sum(n)::HUGEINT AS N FROM c GROUP BY lang, source),
+s AS (
+    SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+           1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (coalesce(t.N, 0) + v.V) AS p,
+           1 + (1000000000::HUGEINT * (k.n + 1)) // (v.M + v.V) AS w
+    FROM g JOIN k ON g.lang = k.lang JOIN v ON g.lang = v.lang
+    LEFT JOIN c ON g.lang = c.lang AND g.source = c.source AND k.term = c.term
+    LEFT JOIN t ON g.lang = t.lang AND g.source = t.source
+), f AS (
+    SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+    FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), x AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+    FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN f ON a.lang = f.lang AND a.source = f.source AND b.source = f.item
+    UNION ALL
+    SELECT lang, source, 'term', term, (((p - w) * (p - w)) // w)::BIGINT FROM s WHERE n > 0 AND p > w
+), y AS (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM x
+)
+SELECT lang, source, part, item, value, rank FROM y WHERE part = 'pair' OR rank <= 200
+"""
+
+
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    counts = variants.word_counts(_table(spark, folder, "documents"), altered=partial(variants.misspelt, every=97))
+    return variants.forms(counts)
+
+
+OP12_SQL = r"""
+WITH t AS (
+    SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS tab
+), o AS (
+    SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run
+    FROM documents
+), c AS (SELECT id, run, count(*) AS k FROM o GROUP BY id, run),
+b AS (
+    SELECT *, flatten(list_transform(string_split(id || ':' || run, ''),
+        lambda ch: CASE WHEN ord(ch) < 128 THEN [ord(ch)] ELSE [195, ord(ch) - 64] END)) AS bytes FROM c
+), h AS (
+    SELECT run, k, length(run) AS len, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes::BIGINT[]),
+        lambda s, x: xor(s // 256, tab[xor(s, x) % 256 + 1])), 4294967295::BIGINT) AS crc FROM b, t
+), w AS (
+    SELECT CASE WHEN crc % 97 = 0 THEN run[1:(crc % len)] || run[(crc % len) + 2:] ELSE run END AS word, sum(k)::BIGINT AS n
+    FROM h GROUP BY 1 HAVING length(word) >= 5 AND sum(k) >= 3
+), g AS (
+    SELECT word, n, length(word) AS len, unnest(range(1, length(word) + 1)) AS pos FROM w
+), d AS (SELECT word, n, pos, word[1:pos - 1] || word[pos + 1:] AS rest FROM g),
+p AS (
+    SELECT a.word AS x, a.n AS xn, b.word AS y, b.n AS yn FROM d a JOIN d b ON a.rest = b.rest AND a.pos = b.pos AND a.word <> b.word
+    UNION SELECT d.word, d.n, w.word, w.n FROM d JOIN w ON d.rest = w.word
+    UNION SELECT w.word, w.n, d.word, d.n FROM d JOIN w ON d.rest = w.word
+), f AS (
+    SELECT x, count(*) AS n_near, max(yn) AS most, min(struct_pack(a := -yn, b := y)) AS best FROM p GROUP BY x
+), r AS (
+    SELECT w.word, w.n, coalesce(f.n_near, 0) AS n_near,
+           CASE WHEN f.most >= 2 * w.n THEN f.best.b END AS form, CASE WHEN f.most >= 2 * w.n THEN f.most END AS form_n
+    FROM w LEFT JOIN f ON w.word = f.x
+), chain AS (
+    WITH RECURSIVE go(word, root) AS (
+        SELECT word, word FROM r
+        UNION ALL SELECT go.word, r.form FROM go JOIN r ON go.root = r.word WHERE r.form IS NOT NULL
+    ) SELECT go.word, go.root FROM go JOIN r ON go.root = r.word WHERE r.form IS NULL
+)
+SELECT r.word, r.form, chain.root, r.n, r.n_near, r.form_n FROM r JOIN chain ON r.word = chain.word
+"""
+
+
+def op13_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffixes.remove_repeats(_table(spark, folder, "documents"), lambda kept: F.sha2(kept, 256))
+    return found.withColumnRenamed("kept", "kept_sha256")
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+p AS (SELECT r, b, unnest(range(1, octet_length(b) - 198)) AS pos FROM d WHERE octet_length(b) >= 200),
+w AS (SELECT r, pos, md5(b[pos:pos + 199]) AS h FROM p),
+q AS (SELECT w.r, w.pos FROM w JOIN (SELECT h FROM w GROUP BY h HAVING count(*) > 1) USING (h)),
+i AS (SELECT r, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY r ORDER BY pos) <= 200 THEN 0 ELSE 1 END AS fresh FROM q),
+j AS (SELECT r, pos, sum(fresh) OVER (PARTITION BY r ORDER BY pos) AS k FROM i),
+s AS (SELECT r, k, min(pos) AS a, max(pos) + 199 AS z FROM j GROUP BY r, k),
+g AS (
+    SELECT r, coalesce(lag(z) OVER (PARTITION BY r ORDER BY k), 0) + 1 AS x, a - 1 AS y FROM s
+    UNION ALL SELECT r, max(z) + 1, 1000000000 FROM s GROUP BY r
+), kept AS (SELECT g.r, sha256(unhex(string_agg(hex(b[x:y]), '' ORDER BY x))) AS sha FROM g JOIN d ON g.r = d.r GROUP BY g.r),
+n AS (SELECT r, sum(z - a + 1)::BIGINT AS gone, count(*) AS spans FROM s GROUP BY r)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
+       coalesce(sha, sha256(b)) AS kept_sha256
+FROM d LEFT JOIN n ON d.r = n.r LEFT JOIN kept ON d.r = kept.r
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_packing, op3_fixity, op4_pii, op5_repeated_passages, op6_mixing, op7_jaccard_join, op8_reply_trees, op9_quality_perplexity,
-                                op10_learned_partitions)
+    f.__name__: f for f in (
+        op1_sharding, op2_packing, op3_fixity, op4_pii, op5_repeated_passages, op6_mixing, op7_jaccard_join, op8_reply_trees,
+        op9_quality_perplexity, op10_learned_partitions, op11_source_divergence, op12_spelling_variants, op13_suffix_dedup)
+}
+SQL: dict[str, str] = {
+    "op3_fixity": OP3_SQL, "op8_reply_trees": OP8_SQL, "op11_source_divergence": OP11_SQL, "op12_spelling_variants": OP12_SQL,
+    "op13_suffix_dedup": OP13_SQL,
 }
-SQL: dict[str, str] = {"op3_fixity": OP3_SQL, "op8_reply_trees": OP8_SQL}
