@@ -8,22 +8,22 @@ indexed in its most probable part; a query looks into its several most probable
 what is found there is ranked by exact inner products in double precision. How many parts
 that takes is measured on held-out sample rows against brute force, for ``RECALL``.
 
-The sample has about ``SAMPLE`` rows at any input size. Parts are searched in blocks of rows by
-chunks of queries, so a part that holds a third of all rows is many tasks.
-
-Defined results: vectors that are null, zero, of another length than most of the sample, or hold null or
-non-finite components take no part; equal scores go to the smaller id; a repeated id is as many
-candidates (none of them its own query's) and one query per row's distinct vector; an empty table gives an
-empty result; other columns are neither read nor returned.
+The sample has at most ``SAMPLE`` rows, chosen by row whatever their ids and vectors are. Parts are searched in blocks of rows by
+chunks of queries, so a part, an id or a vector that holds a third of all rows is many tasks. Matrix products
+only choose candidates, with a margin for their rounding; scores are sums in the order of the components, the same
+wherever a pair is met, so equal vectors have equal scores.
+
+Defined results: vectors that are null, zero, or hold null or non-finite components take no part; nor do those of
+another length than most usable rows of the table have (of equally many, the shorter); equal scores go to the
+smaller id, a null id last; a row without an id is a candidate; a repeated id is as many candidates (none of them its own query's)
+and one query per row's distinct vector; an empty table gives an empty result; other columns are neither read nor
+returned.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -130,7 +130,6 @@ class Index:
     """The router, and how many parts a query looks into."""
 
     def __init__(self, x: np.ndarray, k: int, parts: int = PARTS, recall: float = RECALL):
-        self.length = x.shape[1]
         self.parts = max(1, min(parts, len(x) // PART_ROWS))
         everyone = np.arange(len(x))
         graph = neighbours(x, everyone, min(GRAPH, len(x) - 1)) if len(x) > 1 else np.zeros((len(x), 0), np.int64)
@@ -160,15 +159,21 @@ def _matrix(column) -> np.ndarray:
 
 
 def fit(rows: DataFrame, k: int, sample: int = SAMPLE, **settings) -> Index | None:
-    """An index from about ``sample`` of the usable (id, vector) rows; None if there are none."""
+    """An index from at most ``sample`` (id, vector) rows of one length; None if there are none."""
     total = rows.count()
-    share = 1.0 if total <= sample else sample / total
-    picked = rows.filter(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else rows
-    vectors = picked.select("vector").toArrow().column("vector").to_pylist()  # about ``sample`` rows
-    if not vectors:
-        return None
-    length = Counter(map(len, vectors)).most_common(1)[0][0]
-    return Index(np.array([v for v in vectors if len(v) == length], np.float64), k, **settings)
+    rows = rows.withColumn("order", F.xxhash64("id", "vector", F.monotonically_increasing_id(), F.lit(SEED)))
+    if total > sample:  # about twice as many as wanted reach the driver, which keeps the first
+        rows = rows.filter(F.pmod("order", F.lit(1 << 30)) < int(min(1.0, 2 * sample / total) * (1 << 30)))
+    vectors = rows.orderBy("order").limit(sample).select("vector").toArrow().column("vector")
+    return Index(_matrix(vectors), k, **settings) if len(vectors) else None
+
+
+def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of rows with rows, summed in the order of the components."""
+    out = np.zeros(len(q))
+    for k in range(q.shape[1]):
+        out += q[:, k] * x[:, k]
+    return out
 
 
 def search(vectors: DataFrame, queries: Column, k: int = 20, id: str = "vec_id", vector: str = "embedding",
@@ -180,7 +185,9 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id: str = "vec_id",
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id).cast("bigint").alias("id"), F.col(vector).alias("vector"),
-                          F.coalesce(queries, F.lit(False)).alias("asks")).filter(usable(F.col("vector")))
+                          F.coalesce(queries & F.col(id).isNotNull(), F.lit(False)).alias("asks")).filter(usable(F.col("vector")))
+    common = rows.groupBy(F.size("vector").alias("length")).count().orderBy(F.desc("count"), "length").first()  # one row
+    rows = rows.filter(F.size("vector") == (common["length"] if common else 0))
     index = fit(rows, k, **settings)
     if index is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
@@ -189,8 +196,6 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id: str = "vec_id",
     def route(batches):
         known = shared.value
         for batch in batches:
-            right = pc.equal(pc.list_value_length(batch.column("vector")), known.length)
-            batch = batch.filter(right)
             if batch.num_rows:
                 found = known.ranked_parts(_matrix(batch.column("vector")))[:, : known.probes].astype(np.int32)
                 asks = batch.column("asks").to_numpy(zero_copy_only=False)
@@ -200,8 +205,8 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id: str = "vec_id",
                     ["id", "vector", "asks", "parts"])
 
     kind = rows.schema["vector"].dataType.simpleString()
-    rows.mapInArrow(route, f"id bigint, vector {kind}, asks boolean, parts array<int>").write.parquet(
-        path := scratch(spark, "vectors"))
+    rows.mapInArrow(route, f"id bigint, vector {kind}, asks boolean, parts array<int>").withColumn(
+        "row", F.monotonically_increasing_id()).write.parquet(path := scratch(spark, "vectors"))
     routed = spark.read.parquet(path)
     # Equal vectors have equal parts. The number of a query has to be the same in every pass.
     routed.filter("asks").groupBy("id", "vector").agg(F.first("parts").alias("parts")).withColumn(
@@ -214,8 +219,8 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id: str = "vec_id",
         F.ceil(F.sum("rows") / block).alias("blocks"), F.ceil(F.sum("asked") / block).alias("chunks"))
     size.write.parquet(sizes := scratch(spark, "part-sizes"))
     size = lambda: F.broadcast(spark.read.parquet(sizes).withColumnRenamed("part", "_part"))
-    base = routed.select("id", "vector", F.col("parts")[0].alias("part")).join(size(), F.col("part") == F.col("_part")).select(
-        "id", "vector", "part", F.pmod(F.xxhash64("id", F.lit(1)), "blocks").alias("block"),
+    base = routed.select("id", "vector", "row", F.col("parts")[0].alias("part")).join(size(), F.col("part") == F.col("_part")).select(
+        "id", "vector", "part", F.pmod(F.xxhash64("row", F.lit(1)), "blocks").alias("block"),
         F.explode(F.sequence(F.lit(1), F.greatest("chunks", F.lit(1)))).alias("chunk"))
     ask = asking.select("query", "id", "vector", F.explode("parts").alias("part")).join(
         size(), F.col("part") == F.col("_part")).filter("blocks > 0").select(
@@ -224,26 +229,36 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id: str = "vec_id",
     keys = ["part", "block", "chunk"]
 
     def rank(asked: pa.Table, held: pa.Table) -> pa.Table:
-        found = ([], [], [], [])
+        found = ([], [], [], [], [])
         if asked.num_rows and held.num_rows:
-            ids = held.column("id").to_numpy()
-            order = np.argsort(ids, kind="stable")
-            ids, x = ids[order], _matrix(held.column("vector"))[order]
+            named = held.column("id").is_valid().to_numpy()
+            ids, x = held.column("id").fill_null(0).to_numpy(), _matrix(held.column("vector"))
             asks, q = asked.column("id").to_numpy(), _matrix(asked.column("vector"))
             number = asked.column("query").to_numpy()
+            rounding = 4 * x.shape[1] * np.finfo(float).eps * np.sqrt((x**2).sum(1).max())
             for at in range(0, len(asks), 256):
-                score = q[at : at + 256] @ x.T
-                score[asks[at : at + 256, None] == ids[None, :]] = -np.inf
+                own = q[at : at + 256]
+                score = own @ x.T
+                score[(asks[at : at + 256, None] == ids[None, :]) & named[None, :]] = -np.inf
+                margin = rounding * np.sqrt((own**2).sum(1))
+                chosen = []
                 for i, line in enumerate(score):
-                    least = np.partition(line, -k)[-k] if len(line) > k else -np.inf
-                    near = np.flatnonzero((line >= least) & (line > -np.inf))
-                    near = near[np.lexsort((ids[near], -line[near]))][:k]
-                    found[0].append(np.full(len(near), asks[at + i]))
-                    found[1].append(ids[near])
-                    found[2].append(line[near])
-                    found[3].append(np.full(len(near), number[at + i]))
+                    least = np.partition(line, -k)[-k] - margin[i] if len(line) > k else -np.inf
+                    chosen.append(np.flatnonzero((line >= least) & (line > -np.inf)))
+                row, near = np.repeat(np.arange(len(own)), list(map(len, chosen))), np.concatenate(chosen)
+                exact = _products(own[row], x[near])
+                order = np.lexsort((ids[near], ~named[near], -exact, row))
+                first = np.searchsorted(row, row)  # rows are in order before and after
+                order = order[np.arange(len(row)) - first < k]
+                row, near = row[order], near[order]
+                found[0].append(asks[at + row])
+                found[1].append(np.where(named[near], ids[near], 0))
+                found[2].append(exact[order])
+                found[3].append(number[at + row])
+                found[4].append(~named[near])
         parts = [np.concatenate(f) if f else np.zeros(0) for f in found]
-        return pa.table({"query_id": pa.array(parts[0].astype(np.int64)), "vec_id": pa.array(parts[1].astype(np.int64)),
+        return pa.table({"query_id": pa.array(parts[0].astype(np.int64)),
+                         "vec_id": pa.array(parts[1].astype(np.int64), mask=parts[4].astype(bool)),
                          "score": pa.array(parts[2].astype(np.float64)), "query": pa.array(parts[3].astype(np.int64))})
 
     found = ask.groupBy(*keys).cogroup(base.groupBy(*keys)).applyInArrow(
@@ -251,6 +266,6 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id: str = "vec_id",
     found.createOrReplaceTempView(view := f"near_{scratch(spark, 'v')[-12:]}")
     ranked = spark.sql(
         f"SELECT query_id, cast(rank AS int) AS rank, vec_id, score FROM (SELECT *, row_number() OVER "
-        f"(PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM {view}) WHERE rank <= {int(k)}")
+        f"(PARTITION BY query ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM {view}) WHERE rank <= {int(k)}")
     spark.catalog.dropTempView(view)
     return ranked

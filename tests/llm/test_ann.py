@@ -65,8 +65,9 @@ def test_odd_rows(spark):
     x = np.array([v for _, v, _ in ok] + [[1.0, 1.0, 1.0]])
     want = brute(np.arange(61), x, np.array([0, 20, 40]), 5)
     assert set(got) == {0, 20, 40}
-    for q in got:
-        assert [s for _, s in got[q]] == [s for _, s in want[q]]
+    for q in got:  # id None stands last among equals
+        line = sorted([(-(x[[0, 20, 40].index(q) * 20] @ v), i is None, i or 0) for (i, *_), v in zip(ok + odd[-1:], x) if i != q])
+        assert got[q] == [(None if none else i, -s) for s, none, i in line[:5]]
     assert ann.search(frame.limit(0), ann.F.col("vec_id") % 20 == 0).count() == 0
 
 
@@ -82,3 +83,45 @@ def test_repeated_queries_and_candidates(spark):
     assert [j for j, _ in twice] == [nearest] + [j for j, _ in plain[0]][:19]
     other = ann.search(frame(rows + [(0, rng.normal(size=8).tolist())]), asks).filter("query_id = 0").collect()
     assert sorted(r["rank"] for r in other) == sorted(2 * list(range(1, 21)))
+
+
+def test_equal_vectors_in_order_of_ids(spark):
+    """Every vector under two ids: blocks of any shape must give both the same score, the smaller id first."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(500, 24))
+    rows = [(i, x[i % 500].tolist()) for i in range(1000)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for line in found(ann.search(frame, ann.F.col("vec_id") % 20 == 0, block=37).collect()).values():
+        assert line == sorted(line, key=lambda v: (-v[1], v[0]))
+        scores: dict = {}
+        for j, s in line:
+            scores.setdefault(j % 500, set()).add(s)
+        assert all(len(s) == 1 for s in scores.values())
+
+
+def test_null_ids_leave_large_ids_whole(spark):
+    big = 2**62 + 1
+    rows = [(big + i, [1.0, float(i % 5)]) for i in range(50)] + [(None, [1.0, 9.0])] * 3 + [(20, [1.0, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = found(ann.search(frame, ann.F.col("vec_id") == 20, k=10).collect())[20]
+    assert [j for j, _ in got[:3]] == [None] * 3 and {j for j, _ in got[3:]} <= {big + i for i in range(50)}
+
+
+def test_a_hot_id_does_not_decide_the_sample(spark):
+    rng = np.random.default_rng(9)
+    hot = spark.range(3000).selectExpr("7L AS vec_id", "array(1D, 0.5D, 0.25D) AS embedding")
+    rest = spark.createDataFrame([(100 + i, v.tolist()) for i, v in enumerate(rng.normal(size=(3000, 3)))], hot.schema)
+    rows = hot.union(rest).selectExpr("vec_id AS id", "embedding AS vector")
+    taken: list = []
+
+    class Seen(ann.Index):
+        def __init__(self, x, k):
+            taken.append(x)
+
+    kept, ann.Index = ann.Index, Seen
+    try:
+        ann.fit(rows, 20, sample=400)
+    finally:
+        ann.Index = kept
+    copies = (taken[0] == [1.0, 0.5, 0.25]).all(1).sum()
+    assert len(taken[0]) == 400 and 120 < copies < 280
