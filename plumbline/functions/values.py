@@ -9,6 +9,7 @@ timestamp, or else itself without surrounding white space.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -20,6 +21,7 @@ from plumbline.functions.text import ISO_TIMESTAMP, NULL_TEXT, NUMBER, strip
 
 EXACT = "decimal(38,18)"  # what most numbers fit; others compare by their digits or as doubles
 SMALLEST_EXACT = 1e-18
+FITS_EXACT = r"^[+-]?0*\d{0,20}(\.\d{0,18}0*)?$"  # a number spelled without exponent, of that many digits
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _FLOATING = (T.FloatType, T.DoubleType)
@@ -50,50 +52,58 @@ def flat(c: Column, dt: T.DataType) -> tuple[Column, T.DataType]:
     return c, dt
 
 
-def exact(c: Column, dt: T.DataType) -> Column:
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def exact(c: Column, dt: T.DataType, into: str = EXACT) -> Column:
     """A number as a decimal of the digits it prints; NULL when they do not all fit."""
-    if isinstance(dt, T.DecimalType):
-        return c.try_cast(EXACT) if dt.scale <= 18 else _lossless(c.cast("string"))
     if isinstance(dt, _FLOATING):  # widening 0.1f would expose its binary tail
-        return _lossless(c.cast("string"))
-    return c.try_cast(EXACT)
+        fits = c.cast("string").try_cast(into)
+        return F.when(fits.cast(dt) == c, fits)  # the digits a double prints are its own
+    if isinstance(dt, T.DecimalType) and dt.scale > 18:
+        fits = c.try_cast(into)
+        return F.when(fits.try_cast(dt) == c, fits)
+    return c.try_cast(into)
 
 
-def _lossless(text: Column, into: str = EXACT) -> Column:
-    def fits(t: Column) -> Column:
-        return F.when(digits(t.try_cast(into).cast("string")) == digits(t), t.try_cast(into))
-
-    return F.get(F.transform(F.array(text), fits), F.lit(0))
+def _spelled(s: Column) -> Column:
+    """A number's stripped text as a decimal; NULL when its digits do not all fit."""
+    by_digits = _let(s.try_cast(EXACT), lambda x: F.when(digits(x.cast("string")) == digits(s), x))
+    return F.when(s.rlike(FITS_EXACT), s.try_cast(EXACT)).when(s.rlike("[eE]"), by_digits)
 
 
 def _same_digits(a: Column, b: Column) -> Column:
-    """
-    Whether two texts spell the same number; NULL when one spells none.
-
-    Written over an array of one pair: the long comparison then stays out of the generated code of
-    the rows around it, which would grow too large to compile.
-    """
-    pair = F.array(F.struct(a.alias("a"), b.alias("b")))
-    return F.exists(pair, lambda p: digits(p["a"]) == digits(p["b"]))
+    """Whether two texts spell the same number; NULL when one spells none."""
+    return _let(F.transform(F.array(a, b), digits), lambda d: F.get(d, F.lit(0)) == F.get(d, F.lit(1)))
 
 
 def digits(text: Column) -> Column:
     """
     Sign, digits and power of ten of a number's text: 1.50 and 0.15E1 -> 15e-1, any zero -> 0.
 
-    NULL for anything that does not spell a finite number. Nothing is rounded at any length.
+    NULL for anything that does not spell a finite number. Nothing is rounded at any length. Every step is
+    bound once, so the expression stays small and an array of texts costs no more than one. A power of more than 30 digits
+    is kept as spelled, beside what the digits add to it.
     """
-    s = strip(text)
-    mantissa = F.regexp_replace(s, "^[+-]|[eE].*$", "")
-    whole = F.substring_index(mantissa, ".", 1)
-    part = F.when(mantissa.contains("."), F.substring_index(mantissa, ".", -1)).otherwise("")
-    power = F.nullif(F.regexp_extract(s, r"[eE]([+-]?\d+)$", 1), F.lit("")).try_cast("bigint")
-    first = F.ltrim(F.concat(whole, part), F.lit("0"))
-    value = F.rtrim(first, F.lit("0"))
-    last = F.coalesce(power, F.lit(0)) - F.length(part) + F.length(first) - F.length(value)
-    sign = F.when(s.startswith("-"), "-").otherwise("")
-    spelled = F.when(value == "", "0").otherwise(F.concat(sign, value, F.lit("e"), last.cast("string")))
-    return F.when(s.rlike(NUMBER), spelled)
+    def canonical(n: Column) -> Column:
+        value = F.rtrim(n["first"], F.lit("0"))
+        moved = F.length(n["first"]) - F.length(value) - n["after"]
+        power = F.when(n["power"] == "", F.lit(0)).otherwise(n["power"].try_cast("decimal(30,0)")) + moved
+        told = F.coalesce(power.cast("string"), F.concat(n["power"], F.lit("+"), moved.cast("string")))
+        return F.when(value == "", "0").otherwise(F.concat(n["sign"], value, F.lit("e"), told))
+
+    def parts(s: Column) -> Column:
+        mantissa = F.regexp_replace(s, "^[+-]|[eE].*$", "")
+        return F.struct(
+            F.when(s.startswith("-"), "-").otherwise("").alias("sign"),
+            F.ltrim(F.replace(mantissa, F.lit("."), F.lit("")), F.lit("0")).alias("first"),
+            F.length(F.regexp_extract(mantissa, r"\.(\d*)", 1)).alias("after"),
+            F.regexp_replace(F.regexp_extract(s, r"[eE]([+-]?\d+)$", 1), r"^\+?(-?)0*(?=\d)", "$1").alias("power"),
+        )
+
+    return _let(strip(text), lambda s: F.when(s.rlike(NUMBER), _let(parts(s), canonical)))
 
 
 def _plain(number: Column) -> Column:
@@ -117,7 +127,7 @@ def text_of(c: Column, dt: T.DataType) -> Column:
     kind = kind_of(dt)
     if kind == "num":
         return F.coalesce(
-            _plain(exact(c, dt)), _plain(_lossless(c.cast("string"), "decimal(38,0)")), c.cast("string")
+            _plain(exact(c, dt)), _plain(exact(c, dt, "decimal(38,0)")), c.cast("string")
         )
     if kind == "bool":
         return F.when(c, "True").when(~c, "False")
@@ -134,6 +144,22 @@ def render(c: Column, dt: T.DataType) -> Column:
     return F.coalesce(text_of(c, dt), F.lit(NULL_TEXT))
 
 
+def canonical(c: Column, dt: T.DataType, other: T.DataType) -> Column:
+    """
+    A value to be hashed: two sides that give the same one are ``equal``, whatever their types.
+
+    Equal values may still give different ones (1.50 and '1.5'), so only agreement proves something.
+    """
+    kind, against = kind_of(dt), kind_of(other)
+    if dt == other:
+        return c
+    if kind == against and kind != "num":
+        return c.cast("timestamp_ntz") if kind == "ts" else c.cast("string")
+    if {kind, against} <= {"num", "text"} or {kind, against} in ({"date", "text"}, {"ts", "text"}):
+        return text_of(c, dt)
+    return F.concat(F.lit(f"{kind} "), text_of(c, dt))  # of such kinds only NULLs are equal
+
+
 def equal(
     a: Column, a_type: T.DataType, b: Column, b_type: T.DataType, tolerance: float = 0
 ) -> Column:
@@ -196,21 +222,27 @@ def _near(a: Column, b: Column, tolerance) -> Column:
     wide = F.abs(a.try_cast("double") - b.try_cast("double")) <= F.lit(float(tolerance))
     if tolerance < SMALLEST_EXACT:
         return spelled & (wide | _same_digits(a, b))
-    narrow = F.abs(_lossless(a) - _lossless(b)) <= F.lit(f"{tolerance:.18f}").cast(EXACT)
-    return spelled & F.coalesce(narrow, wide)
+    return spelled & F.coalesce(_apart(_spelled(a), _spelled(b), tolerance), wide)
+
+
+def _apart(a: Column, b: Column, tolerance) -> Column:
+    return F.abs(a - b) <= F.lit(f"{tolerance:.18f}").cast(EXACT)
 
 
 def _numbers_equal(a, a_type, b, b_type, tolerance) -> Column:
     floating = [isinstance(t, _FLOATING) for t in (a_type, b_type)]
+    left, right = exact(a, a_type), exact(b, b_type)
+    as_texts = _same_digits(a.cast("string"), b.cast("string"))
     if type(a_type) is type(b_type) or not any(floating):
         raw = a.eqNullSafe(b)
     elif all(floating):  # a float is the number it prints
         raw = a.cast("string").cast("double").eqNullSafe(b.cast("string").cast("double"))
     else:
-        raw = (a.isNull() & b.isNull()) | F.coalesce(
-            _same_digits(a.cast("string"), b.cast("string")), F.lit(False))
+        raw = (a.isNull() & b.isNull()) | F.coalesce(left == right, as_texts, F.lit(False))
     if not tolerance:
         return raw
-    near = _near(a.cast("string"), b.cast("string"), tolerance)
+    wide = F.abs(a.cast("string").cast("double") - b.cast("string").cast("double")) <= F.lit(float(tolerance))
+    finite = F.abs(a.cast("double")) + F.abs(b.cast("double")) < F.lit(float("inf"))
+    near = finite & (wide if tolerance < SMALLEST_EXACT else F.coalesce(_apart(left, right, tolerance), wide))
     # Raw equality first: the subtraction then runs for differing rows only.
     return F.when(raw, True).otherwise(F.coalesce(near, F.lit(False)))

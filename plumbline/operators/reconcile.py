@@ -9,6 +9,7 @@ partition. NULL keys group together, which is also how they should match.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
@@ -41,77 +42,93 @@ def reconcile(
 
     ``compare`` defaults to every shared non-key column, in source order.
     """
-    src, tgt = _by_upper_name(source), _by_upper_name(target)
-    keys = [k.strip().upper() for k in keys]
-    columns = _columns_to_compare(src, tgt, keys, compare)
-
-    src_keys, tgt_keys = _key_columns(src, tgt, keys)
-    key_names = [f"_k{i}" for i in range(len(keys))]
-    src_row = _row_struct(src, columns)
-    tgt_row = _row_struct(tgt, columns)
-
-    left = source.select(*[c.alias(n) for c, n in zip(src_keys, key_names)], src_row.alias(_SRC))
-    right = target.select(*[c.alias(n) for c, n in zip(tgt_keys, key_names)], tgt_row.alias(_TGT))
-    pairs = _group_sides(left, right, key_names)
-
-    field_types = [
-        (flat(F.lit(None), src[c].dataType)[1], flat(F.lit(None), tgt[c].dataType)[1])
-        for c in columns
-    ]
-    both = (F.col(_N_SRC) > 0) & (F.col(_N_TGT) > 0)
-    differs = [
-        both
-        & ~equal(F.col(_SRC)[f"c{i}"], st, F.col(_TGT)[f"c{i}"], tt, tolerance)
-        for i, (st, tt) in enumerate(field_types)
-    ]
-    any_diff = reduce(or_, differs, F.lit(False))
-    dup_src, dup_tgt = F.col(_N_SRC) > 1, F.col(_N_TGT) > 1
-    missing, extra = F.col(_N_TGT) == 0, F.col(_N_SRC) == 0
-
-    failures_in_pair = sum(
-        (c.cast("int") for c in (dup_src, dup_tgt, missing, extra, *differs)), F.lit(0)
-    )
-    measures = {
-        "source_row_count": F.sum(_N_SRC),
-        "target_row_count": F.sum(_N_TGT),
-        "matched_record_count": F.count_if(both & ~any_diff),
-        "failed_record_count": F.sum(failures_in_pair),
-    }
+    sides = Sides.of(source, target, keys, compare)
+    return sides.check(_group_sides(sides.left, sides.right, sides.key_names), tolerance)
+
+
+@dataclass
+class Sides:
+    """Both sides with columns ``_k0``, ``_k1``, … to match by and their compared columns in one struct."""
+
+    left: DataFrame
+    right: DataFrame
+    keys: list[str]
+    columns: list[str]
+    types: list[tuple[T.DataType, T.DataType]]  # of the compared columns in the structs
+
+    @classmethod
+    def of(cls, source: DataFrame, target: DataFrame, keys: list[str], compare: list[str] | None = None) -> Sides:
+        src, tgt = _by_upper_name(source), _by_upper_name(target)
+        keys = [k.strip().upper() for k in keys]
+        columns = _columns_to_compare(src, tgt, keys, compare)
+        src_keys, tgt_keys = _key_columns(src, tgt, keys)
+        names = [f"_k{i}" for i in range(len(keys))]
+        left = source.select(*[c.alias(n) for c, n in zip(src_keys, names)], _row_struct(src, columns).alias(_SRC))
+        right = target.select(*[c.alias(n) for c, n in zip(tgt_keys, names)], _row_struct(tgt, columns).alias(_TGT))
+        return cls(left, right, keys, columns, [
+            tuple(flat(F.lit(None), fields[c].dataType)[1] for fields in (src, tgt)) for c in columns])
+
+    @property
+    def key_names(self) -> list[str]:
+        return [f"_k{i}" for i in range(len(self.keys))]
+
+    def check(self, pairs: DataFrame, tolerance: float = 0) -> Check:
+        """The check of one row per key: its rows on each side, how many, and one of them."""
+        keys, key_names, columns, field_types = self.keys, self.key_names, self.columns, self.types
+        both = (F.col(_N_SRC) > 0) & (F.col(_N_TGT) > 0)
+        differs = [
+            both
+            & ~equal(F.col(_SRC)[f"c{i}"], st, F.col(_TGT)[f"c{i}"], tt, tolerance)
+            for i, (st, tt) in enumerate(field_types)
+        ]
+        any_diff = reduce(or_, differs, F.lit(False))
+        dup_src, dup_tgt = F.col(_N_SRC) > 1, F.col(_N_TGT) > 1
+        missing, extra = F.col(_N_TGT) == 0, F.col(_N_SRC) == 0
 
-    def to_failures(frame: DataFrame) -> DataFrame:
-        key_types = [frame.schema[n].dataType for n in key_names]
-        business_key = F.concat_ws(
-            " | ", *[render(F.col(n), t) for n, t in zip(key_names, key_types)]
+        failures_in_pair = sum(
+            (c.cast("int") for c in (dup_src, dup_tgt, missing, extra, *differs)), F.lit(0)
         )
-        key_list = ",".join(keys)
-        cases = [
-            _failure(dup_src, key_list, "1 row", _rows(_N_SRC), DUPLICATE_KEY,
-                     _appears(_N_SRC, "SOURCE")),
-            _failure(dup_tgt, key_list, "1 row", _rows(_N_TGT), DUPLICATE_KEY,
-                     _appears(_N_TGT, "TARGET")),
-            _failure(missing, key_list, "record present in target", "<NOT FOUND>",
-                     MISSING_IN_TARGET, "Record exists in source but was not loaded into target"),
-            _failure(extra, key_list, "<NOT IN SOURCE>", "record present in target",
-                     EXTRA_IN_TARGET, "Record exists in target but has no matching source record"),
-        ]
-        for i, (name, (st, tt)) in enumerate(zip(columns, field_types)):
-            cases.append(
-                _failure(F.col(f"_d{i}"), name, render(F.col(_SRC)[f"c{i}"], st),
-                         render(F.col(_TGT)[f"c{i}"], tt), VALUE_MISMATCH,
-                         f"{name} does not match between source and target")
+        measures = {
+            "source_row_count": F.sum(_N_SRC),
+            "target_row_count": F.sum(_N_TGT),
+            "matched_record_count": F.count_if(both & ~any_diff),
+            "failed_record_count": F.sum(failures_in_pair),
+        }
+
+        def to_failures(frame: DataFrame) -> DataFrame:
+            key_types = [frame.schema[n].dataType for n in key_names]
+            business_key = F.concat_ws(
+                " | ", *[render(F.col(n), t) for n, t in zip(key_names, key_types)]
+            )
+            key_list = ",".join(keys)
+            cases = [
+                _failure(dup_src, key_list, "1 row", _rows(_N_SRC), DUPLICATE_KEY,
+                         _appears(_N_SRC, "SOURCE")),
+                _failure(dup_tgt, key_list, "1 row", _rows(_N_TGT), DUPLICATE_KEY,
+                         _appears(_N_TGT, "TARGET")),
+                _failure(missing, key_list, "record present in target", "<NOT FOUND>",
+                         MISSING_IN_TARGET, "Record exists in source but was not loaded into target"),
+                _failure(extra, key_list, "<NOT IN SOURCE>", "record present in target",
+                         EXTRA_IN_TARGET, "Record exists in target but has no matching source record"),
+            ]
+            for i, (name, (st, tt)) in enumerate(zip(columns, field_types)):
+                cases.append(
+                    _failure(F.col(f"_d{i}"), name, render(F.col(_SRC)[f"c{i}"], st),
+                             render(F.col(_TGT)[f"c{i}"], tt), VALUE_MISMATCH,
+                             f"{name} does not match between source and target")
+                )
+            # The comparisons get a projection of their own, so that they run once and the
+            # generated code of each step stays small enough for the JVM to compile.
+            flagged = frame.withColumns({f"_d{i}": d for i, d in enumerate(differs)})
+            amiss = [dup_src, dup_tgt, missing, extra, *[F.col(f"_d{i}") for i in range(len(columns))]]
+            return (
+                flagged.filter(reduce(or_, amiss)).select(business_key.alias("business_key"),
+                               F.explode(F.array(*cases)).alias("f"))
+                .filter(F.col("f").isNotNull())
+                .select("business_key", "f.*")
             )
-        # The comparisons get a projection of their own, so that they run once and the
-        # generated code of each step stays small enough for the JVM to compile.
-        flagged = frame.withColumns({f"_d{i}": d for i, d in enumerate(differs)})
-        amiss = [dup_src, dup_tgt, missing, extra, *[F.col(f"_d{i}") for i in range(len(columns))]]
-        return (
-            flagged.filter(reduce(or_, amiss)).select(business_key.alias("business_key"),
-                           F.explode(F.array(*cases)).alias("f"))
-            .filter(F.col("f").isNotNull())
-            .select("business_key", "f.*")
-        )
 
-    return Check(pairs, measures, to_failures, compared_columns=tuple(columns))
+        return Check(pairs, measures, to_failures, compared_columns=tuple(columns))
 
 
 def match_row_counts(

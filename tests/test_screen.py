@@ -46,7 +46,7 @@ def test_same_result_as_the_full_comparison(spark):
 def test_without_a_broadcast_and_without_differences(spark, monkeypatch):
     src = wide(spark)
     tgt = faulty(src)
-    monkeypatch.setattr(screen, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(screen, "BROADCAST_BYTES", -1)
     assert outcome(reconcile_screened(src, tgt, ["K"])) == outcome(reconcile(src, tgt, ["K"]))
     same = reconcile_screened(src, src, ["K"])
     assert tuple(same.metrics.first())[:5] == ("PASS", 2000, 2000, 2000, 0)
@@ -62,3 +62,41 @@ def test_tolerance_and_mixed_types_keep_their_meaning(spark):
     assert reconcile_screened(src, near, ["id"]).metrics.first().failed_record_count == 1
     text = src.withColumn("v", F.col("v").cast("string"))
     assert reconcile_screened(src, text, ["id"]).metrics.first().status == "PASS"
+
+
+def test_text_and_typed_columns_agree_by_their_digests(spark):
+    src = spark.range(200).selectExpr(
+        "id", "cast(id AS decimal(12,2)) AS amount", "date_add(date'2024-01-01', cast(id AS int)) AS day", "id % 2 = 0 AS flag",
+        "cast(id AS float) / 8 AS ratio")
+    text = src.selectExpr(
+        "cast(id AS string) AS id", "if(id = 7, '7.50', cast(id AS string)) AS amount", "cast(day AS string) AS day", "flag",
+        "cast(ratio AS double) AS ratio")
+    seen = screen._suspects(screen.Sides.of(src, text, ["id"]))[1]
+    assert (seen["agreed"], seen["single"], seen["repeated"]) == (199, 1, 0)
+    assert outcome(reconcile_screened(src, text, ["id"])) == outcome(reconcile(src, text, ["id"]))
+
+
+def test_kinds_that_never_match_do_not_agree(spark):
+    src = spark.sql("SELECT 1 AS id, true AS a, date'2024-10-31' AS b, CAST(NULL AS boolean) AS c")
+    tgt = spark.sql("SELECT 1 AS id, 'True' AS a, timestamp_ntz'2024-10-31 00:00:00' AS b, CAST(NULL AS string) AS c")
+    seen = screen._suspects(screen.Sides.of(src, tgt, ["id"]))[1]
+    assert seen["agreed"] == 0
+    assert screen._suspects(screen.Sides.of(src, tgt, ["id"], ["c"]))[1]["agreed"] == 1
+
+
+def test_only_hashing_where_no_key_repeats(spark):
+    src = spark.range(1000).selectExpr("id", "concat('t', id) AS t", "id * 2 AS n")
+    tgt = src.withColumn("t", F.when(F.col("id") == 3, "x").otherwise(F.col("t"))).filter("id <> 5")
+    check = reconcile_screened(src, tgt, ["id"])
+    for frame in (check.metrics, check.failures, screen.digests(screen.Sides.of(src, tgt, ["id"]))):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Sort" not in plan and ("HashAggregate" in plan or "HashJoin" in plan)
+    assert outcome(check) == outcome(reconcile(src, tgt, ["id"]))
+
+
+def test_a_hot_key_is_counted_by_its_digests(spark):
+    src = spark.range(3000).selectExpr("if(id % 3 = 0, NULL, id) AS id", "concat('v', id) AS v")
+    tgt = src.filter("id IS NULL OR id <> 10")
+    assert outcome(reconcile_screened(src, tgt, ["id"])) == outcome(reconcile(src, tgt, ["id"]))
+    mostly = src.withColumn("v", F.lit("other"))
+    assert outcome(reconcile_screened(src, mostly, ["id"])) == outcome(reconcile(src, mostly, ["id"]))
