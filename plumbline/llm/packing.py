@@ -26,8 +26,8 @@ from plumbline.llm.words import slices
 
 LENGTH = 1024
 END_ID = 2
-BLOCK_TOKENS = 4_000_000
-SLICE_BYTES = 16 << 20  # of text tokenised at a time
+BLOCK_TOKENS = 2_000_000
+SLICE_BYTES = 2 << 20  # of text tokenised at a time; index arrays take about 20 times as much
 DONORS = 4  # of the emptiest sequences, those tried for two-for-one exchanges
 
 SCHEMA = ("doc_id bigint, piece int, start bigint, length bigint, sequence_id bigint, "
