@@ -18,27 +18,31 @@ from plumbline.llm.queries import packing_digest, vocabulary
 from plumbline.session import scratch
 
 
-def _keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows with a stored number of their own, ``_row``."""
-    docs.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path := scratch(spark, "keyed"))
-    return spark.read.parquet(path)
+def _keyed(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a stored number of their own, and its name: ``_row``, or longer where that is taken."""
+    held = {c.lower() for c in docs.columns}
+    row = next(name for k in range(len(held) + 1) if (name := "_row" + "_" * k) not in held)
+    # Compressed well: these copies stay on disk until the pipeline is done.
+    docs.withColumn(row, F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(
+        path := scratch(spark, "keyed"))
+    return spark.read.parquet(path), row
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or leave their language's perplexity band go."""
-    keyed = _keyed(spark, docs)
-    kept = perplexity.quality(keyed, id="_row").filter("kept").select(F.col("doc_id").alias("_kept"))
-    return keyed.join(kept, F.col("_row") == F.col("_kept"), "left_semi").select(*docs.columns)
+    keyed, row = _keyed(spark, docs)
+    kept = perplexity.quality(keyed, id=row).filter("kept").select(F.col("doc_id").alias("~kept"))
+    return keyed.join(kept, F.col(row) == F.col("~kept"), "left_semi").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id stays, of equal ones any one."""
-    keyed = _keyed(spark, docs)
-    linked = near.join(keyed, id="_row").select(F.col("doc_id").alias("_linked"), "class_id")
-    named = linked.join(keyed.select("_row", "doc_id"), F.col("_row") == F.col("_linked"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "_row"))  # a null id comes last
-    kept = named.groupBy("class_id").agg(first.alias("first")).select(F.col("first._row").alias("_kept"))
-    return keyed.join(kept, F.col("_row") == F.col("_kept"), "left_semi").select(*docs.columns)
+    keyed, row = _keyed(spark, docs)
+    linked = near.join(keyed, id=row).select(F.col("doc_id").alias("~linked"), F.col("class_id").alias("~class"))
+    named = linked.join(keyed.select(row, "doc_id"), F.col(row) == F.col("~linked"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", F.col(row).alias("row")))  # a null id comes last
+    kept = named.groupBy("~class").agg(first.alias("first")).select(F.col("first.row").alias("~kept"))
+    return keyed.join(kept, F.col(row) == F.col("~kept"), "left_semi").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,11 +55,11 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    keyed = _keyed(spark, docs)
-    taken = mixing.mix_sources(keyed, keep=("_row",)).filter("taken > 0").select(
-        F.col("_row").alias("_taken"), (F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    times = keyed.join(taken, F.col("_row") == F.col("_taken"))
-    return times.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    keyed, row = _keyed(spark, docs)
+    taken = mixing.mix_sources(keyed, keep=(row,)).filter("taken > 0").select(
+        F.col(row).alias("~taken"), (F.col("taken") / F.col("size")).cast("int").alias("~times"))
+    times = keyed.join(taken, F.col(row) == F.col("~taken"))
+    return times.withColumn("~copy", F.explode(F.sequence(F.lit(1), F.col("~times")))).select(*docs.columns)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
