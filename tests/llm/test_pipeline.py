@@ -83,3 +83,12 @@ def test_rows_that_share_an_id(spark):
     some = spark.createDataFrame(left, docs.schema)
     assert set(texts(corpus_pipeline.mixed_sources(spark, some, FOLDER))) <= set(texts(some))
     assert max(Counter(texts(corpus_pipeline.mixed_sources(spark, some, FOLDER))).values()) <= 3
+
+
+def test_extra_columns_come_back_as_they_were(spark):
+    words = " ".join(f"w{i}" for i in range(80))
+    docs = spark.createDataFrame([(1, words, "en", "web", len(words), "mine", 7)],
+                                 "doc_id long, text string, lang string, source string, n_chars int, _row string, _Row_ int")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        for r in stage(spark, docs, FOLDER).collect():
+            assert (r["_row"], r["_Row_"]) == ("mine", 7)
