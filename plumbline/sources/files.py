@@ -13,7 +13,6 @@ import io
 import os
 import re
 from dataclasses import dataclass, field
-from itertools import chain, count
 from urllib.parse import unquote, urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -107,17 +106,25 @@ def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ headers
-def clean_header(names: list[str | None]) -> list[str]:
-    """Trimmed names; blanks numbered by position; repeats (ignoring case) get _2, _3, …"""
-    plain = [(n or "").strip() or f"COLUMN_{place}" for place, n in enumerate(names, 1)]
-    taken: set[str] = set()
+# How a column without a name and a name that was there before are called.
+UNNAMED, AGAIN = "COLUMN_{}", "{}_{}"
 
-    def free(name: str) -> str:
-        choice = next(c for c in chain([name], (f"{name}_{k}" for k in count(2))) if c.upper() not in taken)
-        taken.add(choice.upper())
-        return choice
 
-    return [free(n) for n in plain]
+def clean_header(names: list[str | None]) -> list[str]:
+    """Trimmed names; blanks numbered by position; repeats (ignoring case) get _2, _3, … in their order."""
+    given = [(n or "").strip() for n in names]
+    given = [n if n else UNNAMED.format(i + 1) for i, n in enumerate(given)]
+    earlier = [sum(g.upper() == n.upper() for g in given[:i]) for i, n in enumerate(given)]
+    # A first occurrence keeps its name, so numbered repeats step over all names of the file.
+    used = {n.upper() for n in given}
+    out = list(given)
+    for i in (i for i, k in enumerate(earlier) if k):
+        number = earlier[i] + 1
+        while AGAIN.format(given[i], number).upper() in used:
+            number += 1
+        out[i] = AGAIN.format(given[i], number)
+        used.add(out[i].upper())
+    return out
 
 
 def detect_delimiter(sample: str, truncated: bool = False) -> str:

@@ -5,7 +5,8 @@ Each write goes to a new folder; one small manifest file then names the folders
 that make up every table. Readers resolve tables through the newest manifest, so
 they see all of a change or none of it, and a job that dies half way leaves only
 unreferenced folders. Staging and transformation tables hold one part per batch,
-so replacing a batch never rewrites, or even lists, the others.
+so replacing a batch never rewrites, or even lists, the others. Curated tables are
+laid out in parts by a hash of their key, so an upsert reads and rewrites only the parts its keys fall in.
 """
 
 from __future__ import annotations
@@ -13,19 +14,22 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline import schemas
+from plumbline.operators.mutate import upsert
 
-WHOLE = ""  # the part of a table that is not split by batch
+WHOLE = ""  # the part of a table that is not split
+KEY_PARTS = 16  # parts of a table laid out by key; a store keeps the number it began with
 
 
 class TableStore(Mapping):
     """Read access: ``store[name]`` and ``store.batch(name, batch_id)``."""
 
-    def __init__(self, spark: SparkSession, root: str, tables: dict[str, str] | None = None):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, tables: dict[str, str] | None = None,
+                 key_parts: int = KEY_PARTS):
+        self.spark, self.root, self.key_parts = spark, root.rstrip("/"), key_parts
         self.ddl = dict(tables or schemas.TABLES)
         self.refresh()
 
@@ -47,6 +51,16 @@ class TableStore(Mapping):
         """One batch's rows: only that part's folders are opened."""
         return self._read(name, self.parts.get((name, batch_id), []))
 
+    def touched(self, name: str, key: str, keys: DataFrame) -> DataFrame:
+        """All rows of the parts that the keys fall in, and of those not laid out by key."""
+        wanted = set(_part_numbers(keys, key, modulus := self.modulus(name)))
+        return self._read(name, [p for (t, part), ps in sorted(self.parts.items()) if t == name
+                                 and (part == WHOLE or _number(part, modulus) in wanted) for p in ps])
+
+    def modulus(self, name: str) -> int:
+        """How many parts a table is laid out in by key."""
+        return next((int(part.split("/")[1]) for t, part in self.parts if t == name and "/" in part), self.key_parts)
+
     def _read(self, name: str, paths: list[str]) -> DataFrame:
         ddl = self.ddl[name]
         if not paths:
@@ -69,16 +83,43 @@ class Change:
     ) -> DataFrame:
         """Write a part's new content, replacing or adding to it; returns what was written."""
         types = schemas.types(self.store.ddl[name])
-        typed = rows.select(
-            *[(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c)
-              for c, t in types.items()]
-        )
+        typed = _typed(rows, types)
         path = f"{name}/{uuid.uuid4().hex}"
         typed.write.parquet(f"{self.store.root}/data/{path}")
         kept = self.parts.get((name, part), []) if append else []
+        if part == WHOLE and not append:  # the new content takes the place of all that was laid out by key
+            self.parts = {k: v for k, v in self.parts.items() if k[0] != name or "/" not in k[1]}
         self.parts[(name, part)] = [*kept, path]
         return self.store._read(name, [path])
 
+    def upsert(self, name: str, rows: DataFrame, key: str) -> list[str]:
+        """
+        Put rows in the place of those with the same key; returns the parts that were rewritten.
+
+        Only these parts are read. A table that was written whole is laid out by key at its first upsert.
+        """
+        modulus = self.store.modulus(name)
+        rows = _typed(rows, schemas.types(self.store.ddl[name]))
+        numbers = _part_numbers(rows, key, modulus)
+        if not numbers:
+            return []
+        if (name, WHOLE) in self.parts:
+            numbers = list(range(modulus))
+        parts = [f"{n}/{modulus}" for n in numbers]
+        old = self.store._read(name, [p for part in (WHOLE, *parts) for p in self.parts.get((name, part), [])])
+        path, number = f"{name}/{uuid.uuid4().hex}", _part_number(key, modulus)
+        upsert(old, rows, [key]).withColumn("part", number).repartition("part").write.partitionBy("part").parquet(
+            f"{self.store.root}/data/{path}")
+        if self.parts.pop((name, WHOLE), None):  # then a part may be empty
+            written = self.store.spark.read.parquet(f"{self.store.root}/data/{path}").select("part").distinct()
+            numbers = [r.part for r in written.collect()]
+        self.parts |= {(name, f"{n}/{modulus}"): [f"{path}/part={n}"] for n in numbers}
+        return parts
+
+    def table(self, name: str) -> DataFrame:
+        """A table as this change leaves it."""
+        return self.store._read(name, [p for (t, _), ps in sorted(self.parts.items()) if t == name for p in ps])
+
     def drop(self, name: str, part: str) -> None:
         self.parts.pop((name, part), None)
 
@@ -97,6 +138,24 @@ class Change:
         return version
 
 
+def _typed(rows: DataFrame, types: dict[str, str]) -> DataFrame:
+    return rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in types.items()])
+
+
+def _part_number(key: str, modulus: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(modulus)).cast("int")
+
+
+def _part_numbers(rows: DataFrame, key: str, modulus: int) -> list[int]:
+    """The parts that keys fall in: at most ``modulus`` numbers."""
+    return sorted(r.part for r in rows.select(_part_number(key, modulus).alias("part")).distinct().collect())
+
+
+def _number(part: str, modulus: int) -> int | None:
+    number, _, of = part.partition("/")
+    return int(number) if of == str(modulus) else None
+
+
 def _newest(spark: SparkSession, folder: str) -> tuple[int, dict[tuple[str, str], list[str]]]:
     """The highest complete manifest; it lists tables and batches, never data rows."""
     schema = "name string, part string, path string, version int"
