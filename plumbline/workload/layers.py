@@ -424,6 +424,27 @@ def queries() -> dict:
                 src=f"{_CLAIM_SRC} WHERE POLICY_ID IN (SELECT POLICY_ID FROM stg_policy UNION "
                     "SELECT POLICY_ID FROM policy_master)",
                 tgt="SELECT * FROM claim_master")),
+        "saved_policy_staging_rule": (
+            lambda f: saved("Policy staging vs curated (mapping rules)", B2)(f).failures,
+            sql.reconcile("policy_master", stale, {
+                "CUSTOMER_ID": "text", "POLICY_TYPE": "text", "POLICY_STATUS": "text",
+                "PREMIUM_AMOUNT": "num", "ISSUE_DATE": "date", "EXPIRY_DATE": "date"},
+                src=f"{_POLICY_SRC} WHERE BATCH_ID = '{B2}'",
+                tgt=_batch_scope("policy_master", "trn_policy", "POLICY_ID", B2))),
+        "saved_claim_staging_rule": (
+            lambda f: saved("Claim staging vs curated (mapping rules)", B2)(f).failures,
+            sql.reconcile("claim_master policy_master", {"CLAIM_ID": "text"}, {
+                "POLICY_ID": "text", "CLAIM_DATE": "date", "CLAIM_STATUS": "text",
+                "CLAIM_AMOUNT": "num", "APPROVED_AMOUNT": "num", "CLAIM_RATIO": "num"},
+                src=f"{_CLAIM_SRC} WHERE BATCH_ID = '{B2}' AND POLICY_ID IN (SELECT POLICY_ID FROM stg_policy "
+                    f"WHERE BATCH_ID = '{B2}' UNION SELECT POLICY_ID FROM policy_master)",
+                tgt=_batch_scope("claim_master", "stg_claim", "CLAIM_ID", B2))),
+        "saved_customer_staging_rule": (
+            lambda f: saved("Customer staging vs curated (mapping rules)", B2)(f).failures,
+            sql.reconcile("customer_360", {"CUSTOMER_ID": "text"},
+                          {"CUSTOMER_NAME": "text", "EMAIL": "text"},
+                          src=f"SELECT * FROM trn_customer WHERE BATCH_ID = '{B2}'",
+                          tgt=_batch_scope("customer_360", "trn_customer", "CUSTOMER_ID", B2))),
         "staging_vs_curated_customer": (
             lambda f: restaged("customer")(f).failures,
             sql.reconcile("customer_360", {"CUSTOMER_ID": "text"},
