@@ -10,6 +10,8 @@ from plumbline.functions.text import ISO_DATE, ISO_TIMESTAMP
 from plumbline.functions.values import flat, kind_of, text_of
 
 SHOWN = 60
+SKETCH_ERROR = 0.02  # relative standard deviation of a sketched distinct count
+_NEARLY = 0.9  # of the rows: a column with fewer values by its sketch, five deviations off, is no key
 _LONG = 64  # longer values are told apart by their SHA-256 digest
 
 
@@ -37,7 +39,7 @@ def profile(df: DataFrame, approximate: bool = False) -> DataFrame:
             F.bool_and(_whole(c, dt)).alias(f"w{i}"),
         ]
         if approximate:
-            aggs.append(F.approx_count_distinct(c).alias(f"u{i}"))
+            aggs.append(F.approx_count_distinct(c, SKETCH_ERROR).alias(f"u{i}"))
     wide = df.agg(*aggs)
 
     slots = []
@@ -130,6 +132,28 @@ def candidate_keys(profiled: DataFrame) -> DataFrame:
     return profiled.filter("is_key").select("column_name")
 
 
+def find_keys(df: DataFrame) -> tuple[dict[str, int], list[str]]:
+    """
+    Rows, columns and columns with NULLs of a table, and the columns without NULLs or repeated values.
+
+    One pass counts and sketches every column; values are grouped exactly only for the columns whose sketch
+    nearly reaches the number of rows. Ranges, kinds and other columns' values are not looked at. Runs when called.
+    """
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for i, f in enumerate(df.schema.fields):
+        c = flat(F.col(f"`{f.name}`"), f.dataType)[0]
+        aggs += [F.count(c).alias(f"v{i}"), F.approx_count_distinct(c, SKETCH_ERROR).alias(f"u{i}")]
+    seen = df.agg(*aggs).first()  # one row
+    names = df.columns
+    likely = [c for i, c in enumerate(names) if seen.n and seen[f"v{i}"] == seen.n and seen[f"u{i}"] >= _NEARLY * seen.n]
+    facts = {"row_count": seen.n, "column_count": len(names),
+             "columns_with_nulls": sum(seen[f"v{i}"] < seen.n for i in range(len(names)))}
+    if not likely:
+        return facts, []
+    exact = distinct_counts(df.select(*[F.col(f"`{c}`") for c in likely])).filter("_most = 1").select("position")
+    return facts, [likely[k] for k in sorted(r.position for r in exact.collect())]  # a row for each such column
+
+
 def table_summary(profiled: DataFrame) -> DataFrame:
     return profiled.agg(
         F.max("row_count").alias("row_count"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.preload import LoadCheck, clean_for_load, guess_table, spec_for
-from plumbline.operators.profile import candidate_keys, profile, table_summary
+from plumbline.operators.profile import SKETCH_ERROR, distinct_counts, find_keys, profile
 from plumbline.workload import sql
 from plumbline.workload.feed import BLANK, FOREIGN, LOST, TWICE, WRONG, Feed
 
@@ -175,12 +175,21 @@ def queries() -> dict:
         for t in ("customer", "orders", "part") for c, _, _ in _PROFILES[t])
 
     def all_keys(f: Feed) -> DataFrame:
-        out = None
-        for t in ("customer", "orders", "part"):
-            one = candidate_keys(profile(f.table(t))).select(F.lit(t).alias("table_name"),
-                                                             "column_name")
-            out = one if out is None else out.unionByName(one)
-        return out
+        found = [(t, c) for t in ("customer", "orders", "part") for c in find_keys(f.table(t))[1]]
+        return f.spark.createDataFrame(found, "table_name string, column_name string")
+
+    def summary(f: Feed) -> DataFrame:
+        facts, names = find_keys(f.table("orders"))
+        return f.spark.createDataFrame(
+            [(*facts.values(), len(names))],
+            "row_count bigint, column_count bigint, columns_with_nulls bigint, candidate_keys bigint")
+
+    def sketched(f: Feed) -> DataFrame:
+        """Every column's sketched distinct count lies within five deviations of the exact one."""
+        exact = distinct_counts(f.table("lineitem")).select("position", F.col("distinct_count").alias("exact_count"))
+        found = profile(f.table("lineitem"), approximate=True).join(exact, "position")
+        close = F.abs(F.col("distinct_count") - F.col("exact_count")) <= 5 * SKETCH_ERROR * F.col("exact_count")
+        return found.select("position", "column_name", "kind", "row_count", "null_count", "exact_count", close.alias("close"))
 
     out = {
         "preload_counts": (lambda f: check(f).counts, _counts_sql()),
@@ -205,7 +214,7 @@ def queries() -> dict:
             "'STG_CLAIM' WHEN p_size < 30 THEN 'STG_CUSTOMER' END AS table_name FROM part"),
         "candidate_keys": (all_keys, keys),
         "table_summary": (
-            lambda f: table_summary(profile(f.table("orders"))),
+            summary,
             "SELECT count(*) AS row_count, CAST(6 AS BIGINT) AS column_count, CAST(0 AS BIGINT) "
             "AS columns_with_nulls, CAST(" + " + ".join(
                 f"CAST(count(DISTINCT {c}) = count(*) AS INT)" for c, _, _ in _PROFILES["orders"])
@@ -227,11 +236,10 @@ def queries() -> dict:
             "count(DISTINCT c_acctbal > 0), CASE WHEN bool_and(c_acctbal > 0) THEN 'True' "
             "ELSE 'False' END FROM customer"),
         "profile_approximate": (
-            lambda f: profile(f.table("lineitem"), approximate=True).select(
-                "position", "column_name", "kind", "row_count", "null_count"),
+            sketched,
             " UNION ALL ".join(
-                f"SELECT {i} AS position, '{c}' AS column_name, '{k}' AS kind, count(*) AS "
-                f"row_count, count(*) - count({c}) AS null_count FROM lineitem"
+                f"SELECT {i} AS position, '{c}' AS column_name, '{k}' AS kind, count(*) AS row_count, "
+                f"count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS exact_count, true AS close FROM lineitem"
                 for i, (c, k, _) in enumerate(_PROFILES["lineitem"]))),
     }
     for table in _PROFILES:

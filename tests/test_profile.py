@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from plumbline.operators.profile import candidate_keys, profile, table_summary
+from plumbline.operators.profile import candidate_keys, find_keys, profile, table_summary
 
 
 def test_profile_of_every_kind(spark):
@@ -23,6 +23,8 @@ def test_profile_of_every_kind(spark):
         1, 33.3, 2, False)
     assert (nothing.null_pct, nothing.distinct_count, nothing.example) == (100.0, 0, "")
     assert sorted(r[0] for r in candidate_keys(profile(df)).collect()) == ["k", "ts"]
+    assert find_keys(df) == ({"row_count": 3, "column_count": 9, "columns_with_nulls": 3}, ["k", "ts"])
+    assert find_keys(df.limit(0)) == ({"row_count": 0, "column_count": 9, "columns_with_nulls": 0}, [])
     s = table_summary(profile(df)).first()
     assert (s.row_count, s.column_count, s.columns_with_nulls, s.candidate_keys) == (3, 9, 3, 2)
 
@@ -42,3 +44,11 @@ def test_a_value_filling_the_column_is_pre_aggregated(spark):
     df = spark.range(0, 40000, numPartitions=4).select(F.lit(1).alias("same"), "id")
     got = {r.column_name: (r.distinct_count, r.is_key) for r in profile(df).collect()}
     assert got == {"same": (1, False), "id": (40000, True)}
+
+
+def test_keys_are_exact_where_sketches_are_near(spark):
+    df = spark.range(0, 20000, numPartitions=4).select(
+        "id", F.when(F.col("id") == 7, 8).otherwise(F.col("id")).alias("one_repeat"), (F.col("id") % 9000).alias("half"),
+        F.array("id").alias("nested"), F.when(F.col("id") != 3, F.col("id")).alias("one_null"))
+    facts, keys = find_keys(df)
+    assert keys == ["id", "nested"] and facts["columns_with_nulls"] == 1

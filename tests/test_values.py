@@ -41,6 +41,9 @@ EQUAL = [
     ("double", 1e25, "string", "10000000000000000000000000"),
     ("float", 0.1, "double", 0.1),
     ("double", 1e-20, "string", "1e-20"),
+    ("string", "1e99999999999999999999", "string", "10.0e99999999999999999998"),
+    ("string", "0e99999999999999999999", "int", 0),
+    ("string", "1e" + "9" * 40, "string", "1.0E+00" + "9" * 40),
 ]
 UNEQUAL = [
     ("int", 12000, "int", 10000),
@@ -60,6 +63,9 @@ UNEQUAL = [
     ("double", 1e-20, "float", 2e-19),
     ("string", "1" * 40, "string", "1" * 39 + "2"),
     ("double", 9007199254740992.0, "bigint", 9007199254740993),
+    ("string", "1e99999999999999999999", "string", "1e99999999999999999998"),
+    ("string", "1e" + "9" * 40, "string", "1e" + "9" * 39 + "8"),
+    ("string", "1e-99999999999999999999", "string", "1e99999999999999999999"),
 ]
 
 
