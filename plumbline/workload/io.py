@@ -104,6 +104,37 @@ def json_files(feed: Feed) -> DataFrame:
     return read_folder(feed.spark, root, part_folders=True)["PEOPLE"]
 
 
+def windows_encoding(feed: Feed) -> DataFrame:
+    """Text with the bytes that only Windows-1252 prints, beside a column name that has one."""
+    root = scratch(feed.spark, "windows")
+    rows = feed.table("supplier").select("s_suppkey", F.concat(F.lit("\u0080 5 \u0096 José "), "s_name").alias("pay\u0097ee"))
+    _write_text(rows, f"{root}/windows.csv", ",", "ISO-8859-1")
+    return read_folder(feed.spark, root, part_folders=True)["WINDOWS"]
+
+
+def json_arrays(feed: Feed) -> DataFrame:
+    """Files of one array of records each, over several lines. Spark's reader puts nested fields in order of their names."""
+    root = scratch(feed.spark, "json-arrays")
+    record = F.to_json(F.struct("c_custkey", F.struct("c_mktsegment", "c_name").alias("who"), F.array("c_nationkey").alias("nations")))
+    texts = feed.table("customer").withColumn("record", record).groupBy("c_nationkey", F.pmod("c_custkey", F.lit(64)).alias("part")).agg(
+        F.concat(F.lit("[\n"), F.array_join(F.collect_list("record"), ",\n"), F.lit("\n]")).alias("value"))
+    texts.select("value").write.option("maxRecordsPerFile", 1).text(f"{root}/people.json")
+    return read_folder(feed.spark, root, part_folders=True)["PEOPLE"]
+
+
+def file_load_errors(feed: Feed) -> DataFrame:
+    """An empty file and a broken one are told by name; the others load."""
+    root = scratch(feed.spark, "broken")
+    nations = feed.table("nation").select(F.concat_ws(",", "n_nationkey", "n_name").alias("value"))
+    nations.limit(0).coalesce(1).write.text(f"{root}/empty.csv")
+    nations.select(F.concat(F.lit("{"), "value").alias("value")).coalesce(1).write.text(f"{root}/broken.json")
+    _write_text(feed.table("supplier").select("s_suppkey", "s_name"), f"{root}/good.csv", ",")
+    found = read_folder(feed.spark, root, part_folders=True)
+    loaded = found["GOOD"].agg(F.lit("good.csv").alias("file"), F.concat(F.count("*").cast("string"), F.lit(" rows")).alias("outcome"))
+    told = found.load_errors().select("file", F.when(F.length("error") > 10, "not loaded").alias("outcome"))
+    return told.unionByName(loaded)
+
+
 def file_catalog(feed: Feed) -> DataFrame:
     """The given folder itself as file tables: name, file, rows and columns of each."""
     return read_folder(feed.spark, feed.folder).describe()
@@ -283,6 +314,14 @@ def queries() -> dict:
         "json_files": (json_files, (
             "SELECT c_custkey, '{\"nation\":\"' || n_name || '\"}' AS home, '[\"' || c_mktsegment "
             "|| '\",\"x\"]' AS tags FROM customer JOIN nation ON n_nationkey = c_nationkey")),
+        "windows_encoding": (windows_encoding, (
+            "SELECT s_suppkey, '€ 5 – José ' || s_name AS \"pay—ee\" FROM supplier")),
+        "json_arrays": (json_arrays, (
+            "SELECT c_custkey, '{\"c_mktsegment\":\"' || c_mktsegment || '\",\"c_name\":\"' || c_name || '\"}' AS who, "
+            "'[' || c_nationkey || ']' AS nations FROM customer")),
+        "file_load_errors": (file_load_errors, (
+            "SELECT 'empty.csv' AS file, 'not loaded' AS outcome UNION ALL SELECT 'broken.json', 'not loaded' "
+            "UNION ALL SELECT 'good.csv', count(*) || ' rows' FROM supplier")),
         "file_catalog": (file_catalog, " UNION ALL ".join(
             f"SELECT '{t.upper()}' AS \"table\", '{t}.parquet' AS file, count(*) AS row_count, "
             f"'{c}' AS columns FROM {t}" for t, c in given.items())),
