@@ -9,7 +9,9 @@ that pass the base rules, copies counting once: quartiles widened by multiples o
 
 Bytes instead of words keep the number of distinct n-grams small against the text, so that counting
 moves far less than the corpus; the counts still come from all of it. The model is broadcast only up
-to ``BROADCAST_ENTRIES``; beyond that, the same scores are computed by joins.
+to ``BROADCAST_ENTRIES``; beyond that, the same scores are computed by joins. Log probabilities are whole
+numbers of 2^-24, so that their sums are exact: a text's score is the same on both paths, in any
+order and in any split of the table.
 
 Defined results: a null or empty text has no words, fails the base rules and has a NULL perplexity; a
 null language is a language of its own; repeated rows count and are returned as often as they
@@ -31,6 +33,10 @@ SPREAD = (3.0, 2.0)  # below and above; the README has what each rejects of poor
 MIN_WORDS = 50
 BROADCAST_ENTRIES = 4_000_000  # about 40 bytes each while they are gathered
 SLICE_BYTES = 2 << 20  # of text; about 100 bytes of arrays for each
+STEP = 1 << 24  # log probabilities are counted in steps of 1 / STEP and kept in 32 bits, so down to -128
+LOWEST = -(1 << 31) + 1
+UNKNOWN = 1  # in place of a log probability: an n-gram that is only a context
+UNSEEN = round(-float(np.log(256)) * STEP)
 SYMBOLS = b"#*$%&|<>"
 
 _SYMBOL = np.zeros(256, bool)
@@ -158,7 +164,7 @@ def _merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
 
 def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
     """
-    (lang, ord, code, logp, backoff) of every n-gram of every order, in natural logarithms.
+    (lang, ord, code, logp, backoff) of every n-gram of every order, natural logarithms in steps of 1 / ``STEP``.
 
     Below the highest order an n-gram counts by how many different bytes precede it. Three discounts
     per language and order follow from the counts of counts; where those are too
@@ -177,6 +183,9 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
         levels[k] = stored(
             levels[k + 1].groupBy("lang", low.alias("code")).agg(F.count(F.lit(1)).alias("n")))
 
+    def steps(p: Column) -> Column:
+        return F.greatest(F.round(F.log(p) * STEP), F.lit(LOWEST)).cast("long")
+
     model, lower = None, None
     for k in range(1, order + 1):
         rows = levels[k].withColumn("context", F.shiftrightunsigned("code", 8))
@@ -185,7 +194,8 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
 
         def discount(i: int, default: float) -> Column:
             found = i - (i + 1) * y * seen[i] / F.nullif(seen[i - 1], F.lit(0.0))
-            return F.when(found.between(0.01, i), found).otherwise(F.lit(default))
+            # Of few binary digits, so that adding them up is exact in any order.
+            return F.when(found.between(0.01, i), F.round(found * (1 << 20)) / (1 << 20)).otherwise(F.lit(default))
 
         discounts = rows.groupBy("lang").agg(
             *[discount(i, i / 2).alias(f"d{i}") for i in (1, 2, 3)]
@@ -218,18 +228,18 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
         rows = stored(rows.select("lang", "code", "p"))
         backoff = totals.select(
             F.col("_lang").alias("lang"), F.lit(k - 1).alias("ord"), F.col("_context").alias("code"),
-            F.lit(None).cast("double").alias("logp"),
-            F.log(F.col("freed") / F.col("total")).alias("backoff"),
+            F.lit(None).cast("long").alias("logp"),
+            steps(F.col("freed") / F.col("total")).alias("backoff"),
         )
         lower = rows
         entry = rows.select(
-            "lang", F.lit(k).alias("ord"), "code", F.log("p").alias("logp"),
-            F.lit(None).cast("double").alias("backoff"),
+            "lang", F.lit(k).alias("ord"), "code", steps(F.col("p")).alias("logp"),
+            F.lit(None).cast("long").alias("backoff"),
         )
         both = entry.unionByName(backoff)
         model = both if model is None else model.unionByName(both)
     return model.groupBy("lang", "ord", "code").agg(
-        F.max("logp").alias("logp"), F.coalesce(F.max("backoff"), F.lit(0.0)).alias("backoff")
+        F.max("logp").alias("logp"), F.coalesce(F.max("backoff"), F.lit(0)).alias("backoff")
     )
 
 
@@ -241,8 +251,8 @@ class SortedModel:
         langs = table.column("lang").combine_chunks()
         ords = table.column("ord").to_numpy()
         codes = table.column("code").to_numpy().astype(np.uint64)
-        logp = table.column("logp").to_numpy().astype(np.float32)
-        backoff = table.column("backoff").to_numpy().astype(np.float32)
+        logp = table.column("logp").fill_null(UNKNOWN).to_numpy().astype(np.int32)
+        backoff = table.column("backoff").to_numpy().astype(np.int32)
         encoded = langs.dictionary_encode()
         encoded = encoded if isinstance(encoded, pa.DictionaryArray) else encoded.combine_chunks()
         index = encoded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
@@ -255,38 +265,43 @@ class SortedModel:
                 self.parts[lang, k] = (codes[mine], logp[mine], backoff[mine])
 
     def _find(self, lang, k, wanted):
-        codes, logp, backoff = self.parts.get((lang, k), (np.zeros(0, np.uint64),) * 3)
+        codes, logp, backoff = self.parts.get((lang, k), (np.zeros(0, np.uint64), *[np.zeros(0, np.int32)] * 2))
         if not len(codes):
             return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64), logp, backoff
         at = np.minimum(np.searchsorted(codes, wanted), len(codes) - 1)
         return codes[at] == wanted, at, logp, backoff
 
     def log_probabilities(self, lang, codes: np.ndarray) -> np.ndarray:
+        return self.steps(lang, codes) / STEP
+
+    def steps(self, lang, codes: np.ndarray) -> np.ndarray:
+        """Log probabilities as whole numbers of 1 / ``STEP``."""
         codes, back = np.unique(codes, return_inverse=True)
         return self._of_different(lang, codes)[back]
 
     def _of_different(self, lang, codes: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(codes))
+        out = np.zeros(len(codes), np.int64)
         todo = np.arange(len(codes))
         for k in range(self.order, 0, -1):
             wanted = codes[todo] & np.uint64((1 << (8 * k)) - 1)
             hit, at, logp, _ = self._find(lang, k, wanted)
-            known = hit & ~np.isnan(logp[at]) if len(logp) else hit
+            known = hit & (logp[at] != UNKNOWN) if len(logp) else hit
             out[todo[known]] += logp[at[known]]
             todo, wanted = todo[~known], wanted[~known]
             if not len(todo):
                 return out
             seen, at, _, backoff = self._find(lang, k - 1, wanted >> np.uint64(8))
             out[todo[seen]] += backoff[at[seen]]
-        out[todo] += np.log(1 / 256)
+        out[todo] += UNSEEN
         return out
 
 
 def measures(docs: DataFrame, model: DataFrame, order: int = ORDER, id: str = "doc_id",
              text: str = "text", lang: str = "lang", entries: int = BROADCAST_ENTRIES) -> DataFrame:
-    """One row per document: base measures, bytes and the total log probability of its bytes."""
-    rows = docs.select(F.col(id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    measured = ("doc_id bigint, lang string, n_words bigint, word_chars bigint, n_symbols bigint, "
+    """One row per document: base measures, bytes, the total log probability of its bytes, a digest of its text."""
+    rows = docs.select(F.col(id).alias("doc_id"), F.col(lang).alias("lang"), F.xxhash64(text).alias("digest"),
+                       F.col(text).alias("text"))
+    measured = ("doc_id bigint, lang string, digest bigint, n_words bigint, word_chars bigint, n_symbols bigint, "
                 "n_dup_lines bigint, n_repeat_words bigint, n_bytes bigint, loglik double")
     small = model.count() <= entries
     if not small:  # the joins need a key of each row, the same in both passes: ids may repeat or be null
@@ -300,25 +315,25 @@ def measures(docs: DataFrame, model: DataFrame, order: int = ORDER, id: str = "d
         known = shared.value
         for batch in slices(batches, "text", SLICE_BYTES):
             raw, offsets = text_bytes(batch.column("text"))
-            loglik = np.zeros(batch.num_rows)
+            loglik = np.zeros(batch.num_rows, np.int64)
             if known is not None:
                 codes = byte_grams(raw, offsets, order)
                 langs = batch.column("lang").dictionary_encode()
                 index = langs.indices.fill_null(-1).to_numpy(zero_copy_only=False)
                 owner = np.repeat(index, np.diff(offsets))
-                each = np.zeros(len(raw))
+                each = np.zeros(len(raw), np.int64)
                 for i in np.unique(index):
                     key = None if i < 0 else langs.dictionary[int(i)].as_py()
                     mine = owner == i
-                    each[mine] = known.log_probabilities(key, codes[mine])
-                running = np.concatenate([[0.0], np.cumsum(each)])
+                    each[mine] = known.steps(key, codes[mine])
+                running = np.concatenate([[0], np.cumsum(each)])
                 loglik = running[offsets[1:]] - running[offsets[:-1]]
             found = base_measures(batch, "text")
-            own = [c for c in ("row", "doc_id", "lang") if c in batch.schema.names]
+            own = [c for c in ("row", "doc_id", "lang", "digest") if c in batch.schema.names]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in own],
                  *[pa.array(v.astype(np.int64)) for v in found.values()],
-                 pa.array(np.diff(offsets)), pa.array(loglik)],
+                 pa.array(np.diff(offsets)), pa.array(loglik / STEP)],
                 [*own, *found, "n_bytes", "loglik"])
 
     out = rows.mapInArrow(measure, measured)
@@ -343,7 +358,7 @@ def _joined_scores(measured: DataFrame, rows: DataFrame, model: DataFrame, order
                          pa.array(mine.astype(np.int64)), pa.array(n.astype(np.int64))], ["row", "lang", "code", "n"])
 
     todo = rows.mapInArrow(grams, "row bigint, lang string, code bigint, n bigint").withColumn(
-        "owed", F.lit(0.0)
+        "owed", F.lit(0).cast("long")
     )
     done = None
     for k in range(order, 0, -1):
@@ -359,20 +374,25 @@ def _joined_scores(measured: DataFrame, rows: DataFrame, model: DataFrame, order
         todo = found.filter(F.col("logp").isNull()).join(
             steps,
             F.col("lang").eqNullSafe(F.col("_m")) & (F.shiftrightunsigned("code", 8) == F.col("_x")), "left",
-        ).select("row", "lang", "code", "n", (F.col("owed") + F.coalesce("backoff", F.lit(0.0))).alias("owed"))
-    rest = todo.select("row", (F.col("n") * (F.col("owed") - F.lit(float(np.log(256))))).alias("loglik"))
-    scores = done.unionByName(rest).groupBy(F.col("row").alias("_r")).agg(F.sum("loglik").alias("loglik"))
+        ).select("row", "lang", "code", "n", (F.col("owed") + F.coalesce("backoff", F.lit(0))).alias("owed"))
+    rest = todo.select("row", (F.col("n") * (F.col("owed") + F.lit(UNSEEN))).alias("loglik"))
+    scores = done.unionByName(rest).groupBy(F.col("row").alias("_r")).agg(
+        (F.sum("loglik").cast("double") / STEP).alias("loglik"))
     return measured.drop("loglik").join(scores, F.col("row") == F.col("_r"), "left").drop("row", "_r").withColumn(
         "loglik", F.coalesce("loglik", F.lit(0.0)))
 
 
-def bands(scored: DataFrame, spread: tuple[float, float] = SPREAD) -> DataFrame:
-    """(lang, low, high): limits of the bits per byte, from a histogram in steps of 1/256 bit."""
-    # Copies have equal measures, but for the last digits of their bits.
+def bands(scored: DataFrame, spread: tuple[float, float] = SPREAD,
+          copies: tuple[str, ...] = ("n_bytes", "n_words", "word_chars", "bits")) -> DataFrame:
+    """
+    (lang, low, high): limits of the bits per byte, from a histogram in steps of 1/256 bit.
+
+    Rows of a language that agree in the columns ``copies`` count once.
+    """
     once = scored.filter(~F.col("base_failed") & F.col("bits").isNotNull()).groupBy(
-        "lang", "n_bytes", "n_words", "word_chars", F.round("bits", 6)).agg(F.min("bits").alias("bits"))
+        "lang", *copies).agg(F.min("bits").alias("least"))
     step = once.groupBy(
-        "lang", F.floor(F.col("bits") * 256).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+        "lang", F.floor(F.col("least") * 256).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     # At most 256 times the largest bits per byte rows for each language.
     gathered = step.groupBy("lang").agg(
         F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("bins"), F.sum("n").alias("total"))
@@ -408,11 +428,11 @@ def quality(docs: DataFrame, order: int = ORDER, spread: tuple[float, float] = S
     rows.write.parquet(path)
     rows = spark.read.parquet(path)
     # One row per language.
-    limits = bands(rows, spread).withColumnRenamed("lang", "_lang")
+    limits = bands(rows, spread, ("digest", "n_bytes", "n_words")).withColumnRenamed("lang", "_lang")
     inside = F.coalesce(F.col("bits").between(F.col("low"), F.col("high")), F.lit(False))
     return (
         rows.join(limits, F.col("lang").eqNullSafe(F.col("_lang")), "left")
         .withColumn("perplexity", F.pow(F.lit(2.0), F.col("bits")))
         .withColumn("kept", ~F.col("base_failed") & inside)
-        .drop("_lang")
+        .drop("_lang", "digest")
     )

@@ -1,4 +1,5 @@
 import math
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -94,3 +95,65 @@ def test_joined_scores_of_repeated_and_null_ids(spark):
              for how in ({}, {"entries": 0})]
     assert [f[:2] for f in found[0]] == [f[:2] for f in found[1]]
     assert all(abs(a[2] - b[2]) < 2e-3 for a, b in zip(*found))
+
+
+def plain_kneser_ney(texts, order):
+    """Modified Kneser-Ney over bytes from its definition: the log probability of a byte after a history."""
+    grams = defaultdict(Counter)  # length -> n-gram -> count; at a text's start nothing comes before, which is byte 0
+    for t in texts:
+        padded = bytes(order - 1) + t
+        for i in range(len(t)):
+            grams[order][padded[i : i + order]] += 1
+    for k in range(order - 1, 0, -1):
+        for g in grams[k + 1]:
+            grams[k][g[1:]] += 1
+    takes = {}
+    for k in grams:
+        seen = Counter(grams[k].values())
+        y = seen[1] / (seen[1] + 2 * seen[2]) if seen[1] + 2 * seen[2] else None
+        takes[k] = {}
+        for i in (1, 2, 3):
+            d = i - (i + 1) * y * seen[i + 1] / seen[i] if y is not None and seen[i] else None
+            takes[k][i] = d if d is not None and 0.01 <= d <= i else i / 2
+
+    def p(byte, history):
+        below = p(byte, history[1:]) if history else 1 / 256
+        k = len(history) + 1
+        held = {g: n for g, n in grams[k].items() if g[:-1] == history}
+        if not held:
+            return below
+        total, freed = sum(held.values()), sum(takes[k][min(n, 3)] for n in held.values())
+        n = held.get(history + bytes([byte]), 0)
+        return max(n - takes[k][min(n, 3)] if n else 0, 0) / total + freed / total * below
+
+    return lambda t: sum(math.log(p(b, (bytes(order - 1) + t)[i : i + order - 1])) for i, b in enumerate(t))
+
+
+def test_scores_equal_a_plain_model(spark):
+    texts = ["abracadabra abra", "banana band", "aaaa", "cabbage", "dab a cab " * 9, "a bad cab ran", "zzz"]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    score = plain_kneser_ney([t.encode() for t in texts], 3)
+    model = perplexity.kneser_ney(perplexity.count_grams(docs, 3), 3)
+    other = docs.unionByName(spark.createDataFrame([(7, "qux abra", "en"), (8, "x", "en")], docs.schema))
+    got = {r.doc_id: r.loglik for r in perplexity.measures(other, model, 3).collect()}
+    for i, t in enumerate([*texts, "qux abra", "x"]):
+        assert abs(got[i] - score(t.encode())) < 1e-5 * len(t), (t, got[i], score(t.encode()))
+
+
+def test_one_score_on_every_path_and_split(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text", "lang")
+    model = perplexity.kneser_ney(perplexity.count_grams(docs, 4), 4).cache()
+    ways = [perplexity.measures(docs, model, 4), perplexity.measures(docs.repartition(7), model, 4),
+            perplexity.measures(docs, model, 4, entries=0)]
+    found = [sorted((r.doc_id, r.n_bytes, r.loglik) for r in way.collect()) for way in ways]
+    assert found[0] == found[1] == found[2]
+    again = perplexity.kneser_ney(perplexity.count_grams(docs.repartition(5), 4), 4)
+    assert sorted(model.collect(), key=str) == sorted(again.collect(), key=str)
+
+
+def test_different_texts_of_equal_measures_count_apart(spark):
+    rows = [(i, "en", 1000, 200, 800, 4.5 if i < 50 else 5.0, False, i) for i in range(100)]
+    schema = "doc_id long, lang string, n_bytes long, n_words long, word_chars long, bits double, base_failed boolean, digest long"
+    docs = spark.createDataFrame(rows + [rows[0]] * 900, schema)
+    limits = perplexity.bands(docs, copies=("digest", "n_bytes", "n_words")).first()
+    assert limits.high > 5.0 + 2 * 0.5 > limits.low
