@@ -24,6 +24,7 @@ class Check:
     measures: dict[str, Column]  # source_row_count, target_row_count, matched…, failed…
     to_failures: Callable[[DataFrame], DataFrame]
     always_passes: bool = False
+    all_fail: bool = False  # each row of ``frame`` is one failure and nothing else is measured
     compared_columns: tuple[str, ...] = ()
 
     @property
@@ -47,6 +48,12 @@ class Check:
             (F.col("failed_record_count") > DISPLAY_CAP).alias("truncated"),
         )
 
+    @staticmethod
+    def measured(failed: int) -> dict:
+        """``metrics`` of a check whose rows all fail, from their number."""
+        return {"status": "FAIL" if failed else "PASS", "source_row_count": failed, "target_row_count": 0,
+                "matched_record_count": 0, "failed_record_count": failed, "truncated": failed > DISPLAY_CAP}
+
     def sample(self, n: int = DISPLAY_CAP) -> DataFrame:
         """The first failures by key, for a report; ``failures`` stays complete."""
         return self.failures.orderBy("business_key", "failure_type", "column_name").limit(n)

@@ -58,6 +58,7 @@ def no_rows(rows: DataFrame, test_name: str) -> Check:
         rows,
         {"source_row_count": n, "failed_record_count": n},
         lambda frame: rule_failures(frame, test_name),
+        all_fail=True,
     )
 
 

@@ -43,6 +43,9 @@ def executions_in(
     other filters, so with a status it means "the latest such run".
     """
     rows = log.filter(in_window(F.col("run_ts"), start, end))
+    if "run_date" in log.columns:  # a log that lies by day: other days are not read
+        low, after = window_bounds(start, end)
+        rows = rows.filter(F.col("run_date").between(F.to_date(low), F.to_date(after)))
     if project:
         rows = rows.filter(F.col("project_id") == project)
     if folder:
@@ -73,13 +76,15 @@ def failure_detail(
     failures: DataFrame, log: DataFrame | None = None, execution: str = "", test: str = "",
     run: str = "", limit: int | None = None,
 ) -> DataFrame:
-    """Failure rows of an execution, a test or a run."""
+    """Failure rows of an execution, a test or a run; a log that lies by run is read for that run only."""
     rows = failures
     if execution:
         rows = rows.filter(F.col("execution_id") == execution)
     if test:
         rows = rows.filter(F.col("test_case_id") == test)
-    if run:
+    if run and "run_id" in rows.columns:
+        rows = rows.filter(F.col("run_id") == run)
+    elif run:
         of_run = log.filter(F.col("run_id") == run).select("execution_id")
         rows = rows.join(of_run, "execution_id", "left_semi")
     if limit is None:

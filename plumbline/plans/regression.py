@@ -64,13 +64,13 @@ def _launch(
         F.lit(str(begun)).cast("timestamp_ntz").alias("started_ts"),
         moment.alias("completed_ts"), F.lit(executed_by).alias("executed_by"),
     )
-    log.append("regression_run", _shaped(start))
+    log.append("regression_run", _shaped(start), "started_ts")
     results = run_rules(spark, chosen, tables, batch_id, log=log, run_id=run_id, run_mode=mode,
                         project_id=project_id, executed_by=executed_by, **more)
     done = start.join(outcome(log, run_id), "run_id", "left") if results else start
     counts = {"passed_tests": "passed", "failed_tests": "failed", "error_tests": "errored"}
     ended = {k: F.col(v) for k, v in counts.items()} if results else {}
-    log.append("regression_run", _shaped(done.withColumns({**ended, "completed_ts": run_clock()})))
+    log.append("regression_run", _shaped(done.withColumns({**ended, "completed_ts": run_clock()})), "started_ts")
     return Started(run_id, regression_id, results)
 
 

@@ -49,19 +49,23 @@ class RunLog:
     """
     Append-only Parquet logs below one folder. Every append gets a folder of its
     own, so checks and runs that log at the same time cannot disturb each other.
+    Below it rows lie by day and run: ``run_date`` and ``run_id`` are columns of every log,
+    and a filter on them decides which files are read.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
     def read(self, name: str, ddl: str) -> DataFrame:
+        kinds = {**schemas.types(ddl), "run_date": "date", "run_id": "string"}
+        whole = ", ".join(f"{c} {kind}" for c, kind in kinds.items())
         try:
-            return self.spark.read.schema(ddl).option("recursiveFileLookup", True).parquet(
-                f"{self.root}/{name}")
+            held = self.spark.read.schema(f"{whole}, append string").parquet(f"{self.root}/{name}")
         except Exception as exc:
             if "PATH_NOT_FOUND" not in str(exc):
                 raise
-            return self.spark.createDataFrame([], ddl)
+            held = self.spark.createDataFrame([], whole)
+        return held.select(*kinds)
 
     @property
     def executions(self) -> DataFrame:
@@ -76,12 +80,15 @@ class RunLog:
         """Start and completion rows; ``history.regression_runs`` folds them."""
         return self.read("regression_run", schemas.REGRESSION_RUN)
 
-    def append(self, name: str, rows: DataFrame) -> None:
-        rows.write.parquet(f"{self.root}/{name}/{uuid.uuid4().hex}")
+    def append(self, name: str, rows: DataFrame, at: str) -> str:
+        """Store rows, which have a ``run_id``, under the day of their timestamp ``at``; returns the folder."""
+        path = f"{self.root}/{name}/append={uuid.uuid4().hex}"
+        rows.withColumn("run_date", F.to_date(at)).write.partitionBy("run_date", "run_id").parquet(path)
+        return path
 
-    def add_failures(self, result: Result, batch_id: str, now: datetime) -> None:
-        """Every failure, whole, written by the executors."""
-        rows = result.failures.select(
+    def add_failures(self, result: Result, found: DataFrame, run_id: str, batch_id: str, now: datetime) -> int:
+        """Every failure, whole, written by the executors; returns how many there are, from the files' footers."""
+        rows = found.select(
             F.uuid().alias("failure_id"),
             F.lit(result.execution_id).alias("execution_id"),
             F.lit(result.rule.test_id).alias("test_case_id"),
@@ -93,8 +100,10 @@ class RunLog:
             "failure_type",
             "failure_reason",
             F.lit(str(now)).cast("timestamp_ntz").alias("failed_ts"),
+            F.lit(run_id).alias("run_id"),
         )
-        self.append("failure_log", rows)
+        path = self.append("failure_log", rows, "failed_ts")
+        return self.spark.read.schema(schemas.FAILURE_LOG).parquet(path).count()
 
     def add_executions(
         self, results: list[Result], run_id: str, batch_id: str, now: datetime,
@@ -108,7 +117,7 @@ class RunLog:
             for r in results
         ]  # one row per check, never per record
         self.append("execution_log", self.spark.createDataFrame(rows, schemas.EXECUTION_LOG)
-                    .coalesce(1))
+                    .coalesce(1), "run_ts")
 
 
 def build(spark: SparkSession, rule: Rule, tables: Mapping, values: Mapping) -> Check:
@@ -152,8 +161,10 @@ def run_rules(
     ``parallel`` checks are submitted at a time, so small ones can share a cluster.
 
     Measuring is one aggregate per check; failure detail is only computed for a
-    check that failed, straight into the log. Without a log it is computed when
-    the result's ``failures`` are read, so an error in a detail column shows there.
+    check that failed, straight into the log. Where every row is a failure, a logged
+    check runs once: its rows are written and counted from what was written. Without
+    a log failures are computed when the result's ``failures`` are read, so an error
+    in a detail column shows there.
     """
     now = spark.range(1).select(run_clock().alias("t")).first().t
     run_id = run_id or f"RUN_{now:%Y%m%d_%H%M%S}_{uuid.uuid4().hex[:6]}"
@@ -164,13 +175,15 @@ def run_rules(
         began = time.perf_counter()
         try:
             check = build(spark, rule, tables, values)
-            measured = check.metrics.first()  # one row; forces planning and execution
-            for name in ("status", "source_row_count", "target_row_count", "truncated",
-                         "matched_record_count", "failed_record_count"):
-                setattr(result, name, measured[name])
+            if log is not None and check.all_fail:
+                measured = check.measured(log.add_failures(result, check.failures, run_id, batch_id, now))
+            else:
+                measured = check.metrics.first().asDict()  # one row; forces planning and execution
+            for name, value in measured.items():
+                setattr(result, name, value)
             result.check = check
-            if log is not None and result.status == "FAIL":
-                log.add_failures(result, batch_id, now)
+            if log is not None and result.status == "FAIL" and not check.all_fail:
+                log.add_failures(result, check.failures, run_id, batch_id, now)
         except Exception as exc:
             result.status = "ERROR"
             result.error_message = f"{type(exc).__name__}: {exc}"

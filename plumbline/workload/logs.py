@@ -9,6 +9,8 @@ from plumbline.operators.latest import latest_execution
 from plumbline.plans import catalog as cat
 from plumbline.plans import history
 from plumbline.plans.params import missing_params, required_params, resolve_column
+from plumbline.plans.runner import RunLog
+from plumbline.session import scratch
 from plumbline.workload import sql
 from plumbline.workload.feed import Feed
 
@@ -22,6 +24,26 @@ def rerun(feed: Feed) -> DataFrame:
     return history.rerun_selection(selected, feed.catalog)
 
 
+def stored_log(feed: Feed) -> RunLog:
+    """The runs and their failures as a log on disk."""
+    log = RunLog(feed.spark, scratch(feed.spark, "run-log"))
+    log.append("execution_log", feed.run_log.repartition("run_id"), "run_ts")
+    owner = feed.run_log.select("execution_id", "run_id")
+    log.append("failure_log", feed.failure_log.join(owner, "execution_id").repartition("run_id"), "failed_ts")
+    return log
+
+
+def stored_failures(feed: Feed) -> DataFrame:
+    """One run's failures out of a log that lies by day and run."""
+    log = stored_log(feed)
+    return history.failure_detail(log.failures, log.executions, run="RUN_20240115").select(feed.failure_log.columns)
+
+
+def stored_window(feed: Feed) -> DataFrame:
+    """The executions of some days out of a log that lies by day and run."""
+    return history.executions_in(stored_log(feed).executions, START, END, project="PRJ-1").select(feed.run_log.columns)
+
+
 def folders(feed: Feed) -> DataFrame:
     """One folder per brand that any part has."""
     return feed.table("part").groupBy(F.col("p_brand").alias("folder_id")).agg(
@@ -183,6 +205,11 @@ def queries() -> dict:
                                              limit=None),
             sql.using("failure_log", "SELECT * FROM failure_log WHERE failed_ts >= TIMESTAMP "
                       "'2024-01-15' AND failed_ts < TIMESTAMP '2024-01-16'")),
+        "stored_failures_of_run": (stored_failures, sql.using(
+            "failure_log", "SELECT * FROM failure_log WHERE failed_ts >= TIMESTAMP "
+            "'2024-01-15' AND failed_ts < TIMESTAMP '2024-01-16'")),
+        "stored_history_window": (stored_window, sql.using(
+            "run_log", f"SELECT * FROM run_log WHERE {_WINDOW} AND project_id = 'PRJ-1'")),
         "failure_page": (
             lambda f: history.failure_detail(f.failure_log, limit=2000),
             sql.using("failure_log", "SELECT * FROM failure_log ORDER BY failed_ts DESC, "

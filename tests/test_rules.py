@@ -20,6 +20,7 @@ from plumbline.plans.params import (
     sql_params,
 )
 from plumbline.plans.rules import COMPARE, COUNTS, NO_ROWS, REPORT, STATUS, Rule
+from plumbline.plans.history import executions_in, failure_detail
 from plumbline.plans.runner import RunLog, compare_tables, results_frame, run_rules, whole_suite
 
 
@@ -154,6 +155,38 @@ def test_every_kind_is_run_logged_and_isolated(spark, tmp_path):
         "T4", "T1", "T2", "T3"]
 
 
+def test_a_run_is_read_alone(spark, tmp_path):
+    log = RunLog(spark, str(tmp_path / "log"))
+    bad = Rule("bad", NO_ROWS, check="SELECT id AS KEY FROM range(7) WHERE id > :low", defaults={"low": 4}, test_id="T1")
+    for run, low in (("RUN a/b=1", 4), ("RUN é", 3), ("RUN none", 9)):
+        found = run_rules(spark, [bad], {}, "B1", {"low": low}, log=log, run_id=run)
+        assert found[0].failed_record_count == max(6 - low, 0) == found[0].failures.count()
+        assert found[0].status == ("FAIL" if low < 6 else "PASS")
+    assert {r.run_id for r in log.executions.collect()} == {"RUN a/b=1", "RUN é", "RUN none"}
+    assert log.failures.count() == 5
+    one = failure_detail(log.failures, run="RUN é")
+    assert sorted(r.business_key for r in one.collect()) == ["4", "5", "6"]
+    plan = spark._jvm.PythonSQLUtils.explainString(one._jdf.queryExecution(), "formatted")
+    assert "PartitionFilters: [isnotnull(run_id" in plan
+    today = log.executions.first().run_ts.date()
+    assert executions_in(log.executions, today, today).count() == 3
+    assert executions_in(log.executions, "2001-01-01", "2001-01-02").count() == 0
+
+
+def test_a_failing_rule_runs_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    rows = spark.range(10).mapInPandas(look, "id long")
+    rule = Rule("all", NO_ROWS, check=lambda t, p: rows, test_id="T1")
+    found = run_rules(spark, [rule], {}, "B1", log=RunLog(spark, str(tmp_path / "log")))
+    assert found[0].failed_record_count == 10 and seen.value == 10
+
+
 def test_compare_tables_defaults(spark):
     a = spark.createDataFrame([("B1", "x", 1), ("B2", "y", 2)],
                               "BATCH_ID string, ROW_ID string, v int")
