@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.workload import compare, io, layers, loads, logs, saved
+from plumbline.workload import compare, io, layers, loads, logs, saved, suite
 from plumbline.workload.feed import Feed
 
-MODULES = [compare, layers, logs, loads, io, saved]
+MODULES = [compare, layers, logs, loads, io, saved, suite]
 
 
 def _all() -> dict[str, tuple[Callable[[Feed], DataFrame], str | None]]:
