@@ -5,8 +5,8 @@ from plumbline.operators.reconcile import reconcile
 from plumbline.sources.files import (
     FileOptions,
     changed_files,
+    choose_delimiter,
     clean_header,
-    detect_delimiter,
     list_files,
     read_file,
     read_folder,
@@ -107,13 +107,76 @@ def test_same_name_files_get_distinct_tables(spark, tmp_path):
     assert [t.table for t in read_folder(spark, str(tmp_path)).tables] == ["A", "A_2", "A_3"]
 
 
-def test_header_and_delimiter_rules():
+def test_header_rule():
     assert clean_header([" ID ", "", None, "id", "Id"]) == [
         "ID", "COLUMN_2", "COLUMN_3", "id_2", "Id_3"]
-    assert detect_delimiter("a;b\n1,5;2\n") == ";"
-    assert detect_delimiter('a,b\n"x;y;z",2\n') == ","
-    assert detect_delimiter("only\none\n") == ","
-    assert detect_delimiter("a|b|c\n1|2|3\n4|5", truncated=True) == "|"
+
+
+def test_delimiter_rule(spark, tmp_path):
+    assert choose_delimiter({",": (0.9, 2), ";": (1.0, 2), "|": (1.0, 3)}) == "|"
+    assert choose_delimiter({",": (1.0, 1)}) == "," == choose_delimiter({})
+    texts = {
+        "a.csv": ("a;b\n1,5;2\n", ["a", "b"]),
+        "b.csv": ('a,b\n"x;y;z",2\n', ["a", "b"]),
+        "c.csv": ("only\none\n", ["only"]),
+        "d.csv": ("a|b|c\n1|2|3\n4|5", ["a", "b", "c"]),
+        "e.txt": ('size;what\n5";a, b, c\n6";"d;e"\n', ["size", "what"]),
+    }
+    for name, (text, _) in texts.items():
+        (tmp_path / name).write_text(text)
+    found = {t.file: t.columns for t in read_folder(spark, str(tmp_path)).tables}
+    assert found == {name: columns for name, (_, columns) in texts.items()}
+
+
+def test_the_whole_file_decides_on_its_delimiter(spark, tmp_path):
+    head = "id;note\n" + "".join(f"{i};a, b, c\n" for i in range(300))
+    (tmp_path / "late.csv").write_text(head + "".join(f"{i};plain\n" for i in range(900)))
+    (tmp_path / "type.csv").write_text("n\n" + "1\n" * 5000 + "x\n")
+    found = read_folder(spark, str(tmp_path))
+    assert found["LATE"].columns == ["id", "note"] and found["LATE"].count() == 1200
+    assert found["TYPE"].dtypes == [("n", "string")]
+
+
+def test_breaks_and_delimiters_inside_quotes(spark, tmp_path):
+    body = "one, two, three\nfour, five, six, \"\"seven\"\"\n\n; ; ;"
+    rows = "".join(f'{i};"{body}";5" pipe\n' for i in range(40))
+    (tmp_path / "long.csv").write_text('id;"the\ntext";size\n' + rows)
+    (tmp_path / "inch.csv").write_text('id,size\n1,5" pipe\n2,6\n')
+    found = read_folder(spark, str(tmp_path))
+    long = found["LONG"]
+    assert long.columns == ["id", "the\ntext", "size"] and long.count() == 40
+    assert {r[1:] for r in long.collect()} == {(body.replace('""', '"'), '5" pipe')}
+    assert sorted(map(tuple, found["INCH"].collect())) == [(1, '5" pipe'), (2, "6")]
+    assert dict(next(t for t in found.tables if t.table == "INCH").layout.options)["multiLine"] is False
+
+
+def test_job_count_does_not_grow_with_the_files(spark, tmp_path):
+    context, jobs = spark.sparkContext, {}
+    for files in (120, 240):  # above 32 paths Spark lists a scan's files in a job of its own
+        folder = tmp_path / str(files)
+        folder.mkdir()
+        for i in range(files):
+            names = [f"c{i}_{k}" for k in range(1 + i % 7)]
+            sep = ",;|"[i % 3]
+            (folder / f"f{i}.csv").write_text(sep.join(names) + "\n" + sep.join(str(k) for k in range(len(names))) + "\n")
+        context.setJobGroup(f"read {files}", "")
+        found = read_folder(spark, str(folder))
+        assert len(found.tables) == files and {r.row_count for r in found.describe().collect()} == {1}
+        jobs[files] = len(context.statusTracker().getJobIdsForGroup(f"read {files}"))
+        context.setJobGroup("", "")
+    assert 0 < jobs[120] == jobs[240]
+
+
+def test_an_unreadable_part_is_told_and_the_other_files_load(spark, tmp_path):
+    for i in range(5):
+        (tmp_path / f"good{i}.csv").write_text(f"a,b\n{i},x\n")
+    (tmp_path / "bad.csv").mkdir()
+    (tmp_path / "bad.csv" / "part-0.csv.gz").write_bytes(b"no gzip at all")
+    (tmp_path / "blank.csv").write_text("\n \n")
+    found = read_folder(spark, str(tmp_path), part_folders=True)
+    assert [t.table for t in found.tables] == [f"GOOD{i}" for i in range(5)]
+    errors = dict(found.errors)
+    assert set(errors) == {"bad.csv", "blank.csv"} and "empty" in errors["blank.csv"]
 
 
 def test_folder_changes(spark, folder):
