@@ -52,7 +52,7 @@ def list_files(spark: SparkSession, path: str, part_folders: bool = False) -> Da
     named like a file (``orders.csv/part-…``), which is how Spark writes one, is
     listed as that file. Only metadata is read.
     """
-    scan = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(_no_glob(path))
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(no_glob(path))
     # A scan skips empty files, so their names come from the file index.
     names = [(unquote(p).replace("file:///", "file:/"),) for p in scan.inputFiles()]
     found = spark.createDataFrame(names, "path string").join(
@@ -81,7 +81,8 @@ def list_files(spark: SparkSession, path: str, part_folders: bool = False) -> Da
     )
 
 
-def _no_glob(path: str) -> str:
+def no_glob(path: str) -> str:
+    """The path as Spark's readers take it literally."""
     return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
@@ -158,7 +159,7 @@ class Layout:
 
     def scan(self, spark: SparkSession, paths: list[str], schema: T.StructType) -> DataFrame:
         reader = spark.read.format(self.format).options(**dict(self.options)).schema(schema)
-        return reader.load([_no_glob(p) for p in paths])
+        return reader.load([no_glob(p) for p in paths])
 
 
 NO_COLUMNS = T.StructType([T.StructField("_none", T.StringType())])
@@ -375,12 +376,7 @@ def _text_facts(spark: SparkSession, files: list, options: FileOptions) -> dict[
             out[path_of[owner]].widths = widths
     finally:
         lines.unpersist()
-    first = F.min_by(F.col("value").cast("binary"), F.col("at"))
-    heads = (
-        raw.filter((F.col("block") == 0) & (F.btrim("value") != "")).groupBy("part").agg(first.alias("head"))
-        .groupBy(_owner(depth).alias("owner")).agg(F.min_by("head", "part").alias("head"))
-    )
-    for r in heads.collect():
+    for r in _first_lines(raw, depth).collect():
         out[path_of[r.owner]].head = bytes(r.head)
     broken = [path for path, known in out.items() if known.quoted_breaks]
     if broken:
@@ -398,11 +394,31 @@ def _text_facts(spark: SparkSession, files: list, options: FileOptions) -> dict[
 
 def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """part, block, at (the order within a block) and value of every line."""
-    return spark.read.text([_no_glob(p) for p in paths]).select(
+    return spark.read.text([no_glob(p) for p in paths]).select(
         F.col("_metadata.file_path").alias("part"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"), "value")
 
 
+def _first_lines(lines: DataFrame, depth: int) -> DataFrame:
+    """owner and head: the first line of each file that is not blank, sought in its first block."""
+    first = F.min_by(F.col("value").cast("binary"), F.col("at"))
+    return (
+        lines.filter((F.col("block") == 0) & (F.btrim("value") != "")).groupBy("part").agg(first.alias("head"))
+        .groupBy(_owner(depth).alias("owner")).agg(F.min_by("head", "part").alias("head"))
+    )
+
+
+def by_first_line(spark: SparkSession, paths: list[str]) -> list[list[str]]:
+    """Files grouped by their first lines, in one job; blank files are left out."""
+    path_of = {_bare(p): p for p in paths}
+    groups = defaultdict(list)
+    for r in _first_lines(_lines(spark, paths), max(map(_depth, paths))).collect():  # one row per file
+        # A quoted line break may lie in the header, whose rest then is unknown.
+        whole = r.head.count(b'"') % 2 == 0
+        groups[bytes(r.head), None if whole else r.owner].append(path_of[r.owner])
+    return [sorted(some) for some in groups.values()]
+
+
 def _usual(counted: DataFrame) -> dict[str, dict[str, tuple[float, int]]]:
     """Per owner and candidate: the share of records with the usual width, and that width (the wider of equals)."""
     widths = counted.select("owner", "n", F.posexplode("widths").alias("candidate", "delimiters"))
@@ -523,7 +539,7 @@ def _read_one(spark, f, options: FileOptions, shape: _Shape | None, kinds: dict[
     if ext in JSON:
         layout = Layout("json", (("mode", "FAILFAST"), ("multiLine", ext == ".json")))
         return _read_json(spark, f.path, layout, options), layout
-    frame = spark.read.parquet(_no_glob(f.path))
+    frame = spark.read.parquet(no_glob(f.path))
     if options.all_text:
         frame = frame.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in frame.columns])
     return frame, Layout("parquet")
@@ -548,7 +564,7 @@ def _read_json(spark, path: str, layout: Layout, options: FileOptions) -> DataFr
     reader = spark.read.options(**dict(layout.options))
     if options.all_text:
         reader = reader.option("primitivesAsString", True)
-    frame = reader.json(_no_glob(path))
+    frame = reader.json(no_glob(path))
     if not frame.columns or frame.columns == ["_corrupt_record"]:
         raise ValueError("the file holds no JSON records")
     names = clean_header(frame.columns)

@@ -1,8 +1,9 @@
 """
 Pick up new landing files and stage them, one batch per micro-batch.
 
-The stream's checkpoint remembers which files were read. Columns are found by the header of each
-file, so files may order them differently; what is missing rejects the micro-batch. A batch id is derived
+The stream's checkpoint remembers which files were read; the stream itself carries their paths only. Columns
+are found by the headers, so files may order them differently; files of one header are read in one scan, and what
+is missing rejects the micro-batch. A batch id is derived
 from the micro-batch number and staging replaces a batch, so a micro-batch that is
 replayed after a failure leaves the same rows, once.
 """
@@ -18,8 +19,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from plumbline.operators.preload import spec_for
 from plumbline.plans.promote import NotLoaded, promote, stage
+from plumbline.sources.files import by_first_line, no_glob
 from plumbline.sources.tables import TableStore
 
+FILES = "path string, modificationTime timestamp, length bigint, content binary"
+
 
 def stage_new_files(
     store: TableStore,
@@ -38,18 +42,19 @@ def stage_new_files(
     spark = store.spark
     wanted = spec_for(table).columns
 
-    def by_header(path: str) -> DataFrame:
+    def by_header(paths: list[str]) -> DataFrame:
         reader = spark.read.option("header", True).option("escape", '"').options(**csv_options)
-        rows = reader.csv(path)  # all text; the load itself types the columns
+        rows = reader.csv([no_glob(p) for p in paths])  # all text; the load itself types the columns
         named = {c.strip().upper(): c for c in rows.columns}
         return rows.select(*[F.col(f"`{named[c]}`").alias(c) for c in wanted if c in named],
                            *[F.col(f"`{o}`") for c, o in named.items() if c not in wanted])
 
-    def load(lines: DataFrame, epoch: int) -> None:
-        paths = [r.file_path for r in lines.select("file_path").distinct().collect()]  # new files
-        if not paths:
+    def load(files: DataFrame, epoch: int) -> None:
+        paths = sorted(r.path for r in files.collect())  # new files
+        groups = by_first_line(spark, paths) if paths else []
+        if not groups:
             return
-        rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(by_header, sorted(paths)))
+        rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(by_header, sorted(groups)))
         if rows.isEmpty():
             return
         batch_id = f"{prefix}_{epoch:06d}"
@@ -63,8 +68,9 @@ def stage_new_files(
                 raise
             on_rejected(batch_id, str(problem))
 
-    lines = spark.readStream.format("text").load(folder).select("_metadata.file_path")
+    # Without the content column no file is opened.
+    files = spark.readStream.format("binaryFile").schema(FILES).load(folder).select("path")
     return (
-        lines.writeStream.foreachBatch(load)
+        files.writeStream.foreachBatch(load)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )

@@ -135,6 +135,29 @@ def file_load_errors(feed: Feed) -> DataFrame:
     return told.unionByName(loaded)
 
 
+def late_delimiter(feed: Feed) -> DataFrame:
+    """Files whose first part has as many commas as semicolons in every line: all lines decide what separates."""
+    root = scratch(feed.spark, "late")
+    orders = feed.table("orders").repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey")
+    first = F.spark_partition_id() == 0
+    _write_text(orders.select("o_orderkey", F.when(first, F.concat(F.lit("a, b, "), "o_orderstatus")).otherwise(F.col("o_orderstatus")).alias("note")),
+                f"{root}/late.csv", ";")
+    return read_folder(feed.spark, root, part_folders=True)["LATE"].select(
+        F.col("o_orderkey").cast("bigint").alias("o_orderkey"), F.substring("note", -1, 1).alias("status"))
+
+
+def folder_of_months(feed: Feed) -> DataFrame:
+    """A file for each month of orders, with column types found for all of them in one pass; the days add up again."""
+    root = scratch(feed.spark, "months")
+    feed.table("orders").select(
+        "o_orderkey", "o_orderstatus", F.concat(F.date_format("o_orderdate", "yyyy-MM"), F.lit(".csv")).alias("file"),
+    ).repartition("file").write.partitionBy("file").option("header", True).csv(root)
+    found = read_folder(feed.spark, root, part_folders=True)
+    kinds = feed.spark.createDataFrame(
+        [(t.table, ", ".join(kind for _, kind in t.frame.dtypes)) for t in found.tables], "table string, kinds string")
+    return found.describe().join(kinds, "table")
+
+
 def file_catalog(feed: Feed) -> DataFrame:
     """The given folder itself as file tables: name, file, rows and columns of each."""
     return read_folder(feed.spark, feed.folder).describe()
@@ -322,6 +345,11 @@ def queries() -> dict:
         "file_load_errors": (file_load_errors, (
             "SELECT 'empty.csv' AS file, 'not loaded' AS outcome UNION ALL SELECT 'broken.json', 'not loaded' "
             "UNION ALL SELECT 'good.csv', count(*) || ' rows' FROM supplier")),
+        "late_delimiter": (late_delimiter, "SELECT o_orderkey, o_orderstatus AS status FROM orders"),
+        "folder_of_months": (folder_of_months, (
+            "SELECT 'FILE_' || strftime(o_orderdate, '%Y_%m') AS \"table\", 'file=' || strftime(o_orderdate, '%Y-%m') || '.csv' "
+            "AS file, count(*) AS row_count, 'o_orderkey, o_orderstatus' AS columns, 'bigint, string' AS kinds FROM orders "
+            "GROUP BY ALL")),
         "file_catalog": (file_catalog, " UNION ALL ".join(
             f"SELECT '{t.upper()}' AS \"table\", '{t}.parquet' AS file, count(*) AS row_count, "
             f"'{c}' AS columns FROM {t}" for t, c in given.items())),

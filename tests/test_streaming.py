@@ -60,7 +60,7 @@ def test_columns_are_found_by_each_file_header(spark, tmp_path):
         store.refresh()
 
     put("a.csv", names, ins.policies(3))
-    put("b.csv", [*names[::-1], "EXTRA"], ins.policies()[3:6])
+    put("b [2] é.csv", [*names[::-1], "EXTRA"], ins.policies()[3:6])
     run()
     staged = {r.POLICY_ID: r.CUSTOMER_ID for r in store["STG_POLICY"].collect()}
     assert staged == {r[0]: r[1] for r in ins.policies(6)}
