@@ -211,14 +211,26 @@ def watermark_breach(
 
 def in_days(ts: Column, start, end) -> Column:
     """Both days inclusive, as a half-open range the scan can use."""
-    first = F.lit(str(start)[:10]).cast("date").cast("timestamp_ntz")
-    after = F.date_add(F.lit(str(end)[:10]).cast("date"), 1).cast("timestamp_ntz")
+    first, after = _bounds(start, end)
     return (ts >= first) & (ts < after)
 
 
+def _bounds(start, end) -> tuple[Column, Column]:
+    first = F.lit(str(start)[:10]).cast("date").cast("timestamp_ntz")
+    return first, F.date_add(F.lit(str(end)[:10]).cast("date"), 1).cast("timestamp_ntz")
+
+
 def latest_in_window(trn: DataFrame, key: str, start, end) -> DataFrame:
-    """Latest version over all batches first; only then the date window."""
-    return latest_version(trn, key).filter(in_days(F.col("RECORD_EFFECTIVE_TS"), start, end))
+    """
+    Latest version over all batches first; only then the date window. Versions before the window cannot be
+    its result, nor hide one; those after it only hide others, so they travel without their content.
+    """
+    ts = F.col("RECORD_EFFECTIVE_TS")
+    first, after = _bounds(start, end)
+    order = (key, "RECORD_EFFECTIVE_TS", "BATCH_ID")
+    slim = trn.filter(ts >= first).select(
+        [F.col(c) if c in order else F.when(ts < after, F.col(c)).alias(c) for c in trn.columns])
+    return latest_version(slim, key).filter(in_days(ts, start, end))
 
 
 def touched_customers(tables: Mapping, batch: Callable[[str], DataFrame]) -> DataFrame:

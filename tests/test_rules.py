@@ -187,6 +187,49 @@ def test_a_failing_rule_runs_once(spark, tmp_path):
     assert found[0].failed_record_count == 10 and seen.value == 10
 
 
+def test_a_failing_comparison_and_its_copies_take_one_pass(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    rows = spark.range(10).mapInPandas(look, "id long").withColumn("v", F.lit(1))
+    other = spark.range(1, 12).withColumn("v", F.when(F.col("id") == 4, 2).otherwise(1))
+    pairs = Rule("pairs", COMPARE, source=lambda t, p: rows, target=lambda t, p: other, keys=("id",), test_id="T1")
+    copy = Rule(**{**pairs.__dict__, "folder": "/Regression", "test_id": "T2"})
+    good = Rule("good", COMPARE, source="SELECT 1 AS id", target="SELECT 1 AS id", keys=("id",), test_id="T3")
+    log = RunLog(spark, str(tmp_path / "log"))
+    found = run_rules(spark, [pairs, good, copy], {}, "B1", log=log)
+    assert seen.value == 10
+    assert [r.rule.test_id for r in found] == ["T1", "T3", "T2"] and len({r.execution_id for r in found}) == 3
+    assert [(r.status, r.source_row_count, r.target_row_count, r.matched_record_count, r.failed_record_count)
+            for r in found] == [("FAIL", 10, 11, 8, 4), ("PASS", 1, 1, 1, 0), ("FAIL", 10, 11, 8, 4)]
+    logged = sorted((r.test_case_id, r.execution_id, r.business_key) for r in log.failures.collect())
+    assert logged == sorted((r.rule.test_id, r.execution_id, k) for r in (found[0], found[2]) for k in ("0", "4", "10", "11"))
+    assert log.failures.select("failure_id").distinct().count() == 8
+    # Empty sides are observed as well.
+    none = Rule("none", COMPARE, source=lambda t, p: rows.limit(0), target=lambda t, p: other.limit(0), keys=("id",))
+    assert [(r.status, r.source_row_count) for r in run_rules(spark, [none], {}, "B1", log=log)] == [("PASS", 0)]
+
+
+def test_versions_before_a_window_do_not_travel(spark, rows):
+    from plumbline.plans.rules import latest_in_window
+
+    trn = spark.sql("SELECT k, BATCH_ID, v, CAST(t AS timestamp_ntz) AS RECORD_EFFECTIVE_TS FROM VALUES "
+                    "('a', 'B1', 1, '2020-01-01'), ('a', 'B2', 2, '2020-02-01'), ('b', 'B1', 3, '2020-02-28 23:59:59'), "
+                    "('b', 'B2', 4, '2020-03-01'), ('c', 'B1', 5, '2020-01-31 23:59:59'), ('d', 'B1', 6, NULL), "
+                    "('e', 'B1', 7, '2020-02-02'), ('e', 'B2', 8, '2020-02-02'), ('f', 'B1', 9, '2020-02-28'), "
+                    "('f', 'B2', 10, NULL) AS x(k, BATCH_ID, v, t)")
+    found = latest_in_window(trn, "k", "2020-02-01", "2020-02-28")
+    assert found.columns == trn.columns
+    assert rows(found, "k", "v") == [("a", 2), ("e", 8), ("f", 9)]
+    read = spark.createDataFrame(trn.collect(), trn.schema)
+    plan = latest_in_window(read, "k", "2020-02-01", "2020-02-28")._jdf.queryExecution().optimizedPlan().toString()
+    assert ">= 2020-02-01 00:00:00" in plan[plan.rindex("Window"):]
+
+
 def test_compare_tables_defaults(spark):
     a = spark.createDataFrame([("B1", "x", 1), ("B2", "y", 2)],
                               "BATCH_ID string, ROW_ID string, v int")
