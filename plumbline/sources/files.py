@@ -357,7 +357,9 @@ def _text_facts(spark: SparkSession, files: list, options: FileOptions) -> dict[
     inside, outside = _quoting(separators, bare)
     opens = has_quote & inside
     outside = F.when(has_quote, outside).otherwise(F.col("value"))
-    unused = F.decode(F.col("value").cast("binary"), "ISO-8859-1").rlike(f"[{CP1252_UNUSED}]")
+    # Lines of plain ASCII hold no byte that Windows-1252 leaves unused; only the others are searched.
+    plain = F.is_valid_utf8("value") & (F.octet_length("value") == F.length("value"))
+    unused = ~plain & F.decode(F.col("value").cast("binary"), "ISO-8859-1").rlike(f"[{CP1252_UNUSED}]")
     by_width = raw.select(
         "part", _widths(outside).alias("widths"), (F.btrim("value") == "").alias("blank"),
         F.is_valid_utf8("value").alias("utf8"), opens.alias("opens"), unused.alias("unused"),
@@ -496,12 +498,13 @@ def _column_kinds(spark: SparkSession, files: list, shapes: dict[str, _Shape], d
         groups[shape.layout, max(8, 1 << (len(shape.names) - 1).bit_length())].append(f.path)
     found = []
     for (layout, width), paths in groups.items():
-        cells = [F.nullif(F.col(f"c{i}"), F.lit("")) for i in range(width)]
         schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
-        tests = [t.alias(f"{name}{i}") for i, c in enumerate(cells) for name, t in _kind_tests(c, decimal).items()]
+        # Cells are trimmed in a projection of their own, once for all tests.
+        cells = layout.scan(spark, paths, schema).select(
+            F.col("_metadata.file_path").alias("part"), *[F.btrim(F.nullif(F.col(f"c{i}"), F.lit(""))).alias(f"c{i}") for i in range(width)])
+        tests = [t.alias(f"{name}{i}") for i in range(width) for name, t in _kind_tests(F.col(f"c{i}"), decimal).items()]
         columns = F.array(*[F.struct(*[F.col(f"{name}{i}").alias(name) for name in "nidb"]) for i in range(width)])
-        found.append(layout.scan(spark, paths, schema).groupBy(F.col("_metadata.file_path").alias("part")).agg(*tests)
-                     .select("part", F.posexplode(columns).alias("position", "cells")))
+        found.append(cells.groupBy("part").agg(*tests).select("part", F.posexplode(columns).alias("position", "cells")))
     owned = reduce(DataFrame.unionByName, found).groupBy(_owner(_depth(files[0].path)).alias("owner"), "position").agg(
         F.sum("cells.n").alias("n"), *[F.bool_and(f"cells.{name}").alias(name) for name in "idb"])
     path_of = {_bare(f.path): f.path for f in files}
@@ -515,16 +518,17 @@ def _number(c: Column, decimal: str) -> Column:
     return c if decimal == "." else F.replace(c, F.lit(decimal), F.lit("."))
 
 
-def _kind_tests(cell: Column, decimal: str) -> dict[str, Column]:
+def _kind_tests(c: Column, decimal: str) -> dict[str, Column]:
     """
-    What the cells of a column agree on: a column is an integer, a decimal number or a boolean when every non-empty
+    What the trimmed cells of a column agree on: a column is an integer, a decimal number or a boolean when every non-empty
     cell is one, else text. Dates stay text, as files spell them; comparisons understand them.
     """
-    c = F.btrim(cell)
+    # A number begins with one of +,-./0123456789, so other cells need no pattern.
+    begins = (c >= "+") & (c < ":") if decimal in (".", ",") else c.isNotNull()
     return {
         "n": F.count(c),
-        "i": F.bool_and(c.rlike(r"^[+-]?\d{1,18}$")),
-        "d": F.bool_and(_number(c, decimal).rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$")),
+        "i": F.bool_and(begins & c.rlike(r"^[+-]?\d{1,18}$")),
+        "d": F.bool_and(begins & _number(c, decimal).rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$")),
         "b": F.bool_and(c.isin("True", "False", "TRUE", "FALSE", "true", "false")),
     }
 

@@ -208,3 +208,14 @@ def test_decode_defaults(spark):
     df = spark.createDataFrame([(" a ",), ("z",), (None,)], "c string")
     assert [r[0] for r in df.select(decode(df.c, {"A": "Active"})).collect()] == [
         "Active", "Unknown", "Unknown"]
+
+
+def test_cells_that_begin_like_numbers_are_told_apart(spark, tmp_path):
+    (tmp_path / "cells.csv").write_text(
+        "sign;bare;day;flag;sum;late;low\n+1;.5;2020-01-02;True;1e3;7;!1\n-2;-.5;2020-01-03;false;+2.;7x;2\n", encoding="utf-8")
+    assert dict(read_folder(spark, str(tmp_path))["CELLS"].dtypes) == {
+        "sign": "bigint", "bare": "double", "day": "string", "flag": "boolean", "sum": "double", "late": "string", "low": "string"}
+    (tmp_path / "cells.csv").unlink()
+    (tmp_path / "comma.csv").write_text("a;b;c\n,5;1,5;1.5\n2;-,5;1.5\n", encoding="utf-8")
+    found = read_folder(spark, str(tmp_path), FileOptions(decimal=","))["COMMA"]
+    assert dict(found.dtypes)["a"] == dict(found.dtypes)["b"] == "double" and found.first().a == 0.5

@@ -141,3 +141,20 @@ def test_title_case_breaks_at_punctuation(spark):
     assert [r[0] for r in df.select(title_case(F.col("s"))).collect()] == [
         "New-Delhi", "O'Neil St. Mary", "A - B", "Île-É"]
     assert spark.range(1).select(strip(F.lit("　 x\x1f"))).first()[0] == "x"
+
+
+def test_doubles_and_short_decimals_meet_before_their_digits_are_parsed(spark):
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    from plumbline.functions.values import equal
+
+    df = spark.sql("SELECT CAST(a AS DOUBLE) AS a, CAST(b AS DECIMAL(15,2)) AS b FROM VALUES ('0.1', 0.1), ('-0.0', 0.0), "
+                   "('9999999999999.99', 9999999999999.99), ('9999999999999.98', 9999999999999.99), ('0.30000000000000004', 0.3), "
+                   "('NaN', 0.0), (NULL, 0.0), (NULL, NULL), ('1', NULL), ('Infinity', 1.0) AS x(a, b)")
+    same = equal(F.col("a"), T.DoubleType(), F.col("b"), T.DecimalType(15, 2))
+    assert [r.s for r in df.select(same.alias("s")).collect()] == [True, True, True, False, False, False, False, True, False, False]
+    # More digits than a double holds are compared as they are spelled.
+    wide = spark.sql("SELECT 0.12345678901234568D AS a, CAST('0.123456789012345678' AS DECIMAL(18,18)) AS b")
+    assert not wide.select(equal(F.col("a"), T.DoubleType(), F.col("b"), T.DecimalType(18, 18))).first()[0]
+    assert "cast(b as double)" in df.select(same).columns[0].lower()
