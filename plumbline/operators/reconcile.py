@@ -36,14 +36,16 @@ def reconcile(
     keys: list[str],
     compare: list[str] | None = None,
     tolerance: float = 0,
+    laid_out: bool = False,
 ) -> Check:
     """
     Match source rows to target rows on ``keys`` and diff the other columns.
 
-    ``compare`` defaults to every shared non-key column, in source order.
+    ``compare`` defaults to every shared non-key column, in source order. ``laid_out`` says that a side may lie by
+    its keys already, from a join or because it is kept so; it is then not shuffled again.
     """
     sides = Sides.of(source, target, keys, compare)
-    return sides.check(_group_sides(sides.left, sides.right, sides.key_names), tolerance)
+    return sides.check(_group_sides(sides.left, sides.right, sides.key_names, laid_out), tolerance)
 
 
 @dataclass
@@ -231,9 +233,24 @@ def _row_struct(cols: dict[str, T.StructField], columns: list[str]) -> Column:
     return F.struct(*(parts or [F.lit(True).alias("present")]))
 
 
-def _group_sides(left: DataFrame, right: DataFrame, key_names: list[str]) -> DataFrame:
-    """Stack both sides and group once; a repeated key keeps its smallest row."""
+def _group_sides(left: DataFrame, right: DataFrame, key_names: list[str], each: bool = False) -> DataFrame:
+    """
+    Stack both sides and group once; a repeated key keeps its smallest row. With ``each`` the sides are
+    grouped before they are stacked: groups meet where they lie, so a side that lies by key already stays there.
+    """
     src_type, tgt_type = left.schema[_SRC].dataType, right.schema[_TGT].dataType
+    if each:
+        none, rows = F.lit(0).cast("bigint"), F.count(F.lit(1))
+        lefts = left.groupBy(*key_names).agg(rows.alias(_N_SRC), F.min(_SRC).alias(_SRC)).withColumns(
+            {_N_TGT: none, _TGT: F.lit(None).cast(tgt_type)})
+        rights = right.groupBy(*key_names).agg(rows.alias(_N_TGT), F.min(_TGT).alias(_TGT)).withColumns(
+            {_N_SRC: none, _SRC: F.lit(None).cast(src_type)})
+        return lefts.unionByName(rights).groupBy(*key_names).agg(
+            F.sum(_N_SRC).alias(_N_SRC),
+            F.sum(_N_TGT).alias(_N_TGT),
+            F.min(_SRC).alias(_SRC),
+            F.min(_TGT).alias(_TGT),
+        )
     stacked = left.withColumn(_TGT, F.lit(None).cast(tgt_type)).unionByName(
         right.withColumn(_SRC, F.lit(None).cast(src_type))
     )

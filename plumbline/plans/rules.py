@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from plumbline.operators.linkage import linked, unlinked
 from plumbline.operators.mutate import customer_totals, with_totals
 from plumbline.plans import mapping
 from plumbline.schemas import ENTITIES
-from plumbline.sources.tables import batch_of
+from plumbline.sources.tables import batch_of, keyed_batch_of
 
 Query = str | Callable[[Mapping, Mapping], DataFrame]
 
@@ -103,11 +104,10 @@ def approved_out_of_range(claims: DataFrame) -> DataFrame:
     )
 
 
-def wrong_type_decode(stg: DataFrame, trn: DataFrame) -> DataFrame:
+def wrong_type_decode(stg: DataFrame, trn: DataFrame, same: tuple = ("POLICY_ID", "BATCH_ID")) -> DataFrame:
+    """``same``: what a row has in common with its staged one; for rows of one batch the key will do."""
     expected = decode(F.col("POLICY_TYPE"), mapping.POLICY_TYPES)
-    pairs = stg.select("POLICY_ID", "BATCH_ID", expected.alias("_expected")).join(
-        trn.select("POLICY_ID", "BATCH_ID", "POLICY_TYPE_DESC"), ["POLICY_ID", "BATCH_ID"]
-    )
+    pairs = stg.select(*same, expected.alias("_expected")).join(trn.select(*same, "POLICY_TYPE_DESC"), list(same))
     return violation(
         pairs.filter(F.col("POLICY_TYPE_DESC") != F.col("_expected")), F.col("POLICY_ID"),
         "POLICY_TYPE_DESC", F.col("_expected"), F.col("POLICY_TYPE_DESC"),
@@ -125,11 +125,10 @@ def invalid_term(trn: DataFrame) -> DataFrame:
     )
 
 
-def wrong_ratio(stg: DataFrame, trn: DataFrame) -> DataFrame:
+def wrong_ratio(stg: DataFrame, trn: DataFrame, same: tuple = ("CLAIM_ID", "BATCH_ID")) -> DataFrame:
+    """``same``: as for ``wrong_type_decode``."""
     expected = mapping.claim_ratio(F.col("APPROVED_AMOUNT"), F.col("CLAIM_AMOUNT"))
-    pairs = stg.select("CLAIM_ID", "BATCH_ID", expected.alias("_expected")).join(
-        trn.select("CLAIM_ID", "BATCH_ID", "CLAIM_RATIO"), ["CLAIM_ID", "BATCH_ID"]
-    )
+    pairs = stg.select(*same, expected.alias("_expected")).join(trn.select(*same, "CLAIM_RATIO"), list(same))
     ratio = F.col("CLAIM_RATIO")
     off = F.abs(F.coalesce(ratio, F.lit(0)) - F.col("_expected")) > F.lit("0.0001").cast(
         "decimal(10,4)"
@@ -223,13 +222,14 @@ def _bounds(start, end) -> tuple[Column, Column]:
 def latest_in_window(trn: DataFrame, key: str, start, end) -> DataFrame:
     """
     Latest version over all batches first; only then the date window. Versions before the window cannot be
-    its result, nor hide one; those after it only hide others, so they travel without their content.
+    its result, nor hide one; those after it only hide others, whichever of them comes last, so they travel as
+    their key alone and the first moment after the window.
     """
     ts = F.col("RECORD_EFFECTIVE_TS")
     first, after = _bounds(start, end)
-    order = (key, "RECORD_EFFECTIVE_TS", "BATCH_ID")
+    known = {key: F.col(key), "RECORD_EFFECTIVE_TS": F.least(ts, after).alias("RECORD_EFFECTIVE_TS")}
     slim = trn.filter(ts >= first).select(
-        [F.col(c) if c in order else F.when(ts < after, F.col(c)).alias(c) for c in trn.columns])
+        [known.get(c, F.when(ts < after, F.col(c)).alias(c)) for c in trn.columns])
     return latest_version(slim, key).filter(in_days(ts, start, end))
 
 
@@ -264,10 +264,10 @@ def builtin_rules() -> list[Rule]:
     ]
 
 
-def _rows(name: str, build: Callable[..., DataFrame], *needs: str, whole: tuple = (), **about):
-    """A no-rows rule over the batch's rows of ``needs`` and all rows of ``whole``."""
+def _rows(name: str, build: Callable[..., DataFrame], *needs: str, whole: tuple = (), read=batch_of, **about):
+    """A no-rows rule over the batch's rows of ``needs``, as ``read``, and all rows of ``whole``."""
     def check(tables, p):
-        return build(*[batch_of(tables, t, p["batch_id"]) for t in needs],
+        return build(*[read(tables, t, p["batch_id"]) for t in needs],
                      *[tables[t] for t in whole])
 
     return Rule(name, NO_ROWS, check=check, **about)
@@ -293,12 +293,12 @@ def _staging() -> list[Rule]:
              entity="All", severity="High", **about),
         Rule("Claims landing file vs staging", COMPARE, keys=("CLAIM_ID",),
              source=lambda t, p: t["CLAIMS"].select(*columns),
-             target=lambda t, p: batch_of(t, "STG_CLAIM", p["batch_id"]).select(*columns),
+             target=lambda t, p: keyed_batch_of(t, "STG_CLAIM", p["batch_id"]).select(*columns),
              entity="Claim", severity="High", scope="SOURCE_TO_TARGET",
              source_name="flatfile", **about),
         _rows("Policy ID is mandatory", lambda s: blank_key(s, "POLICY_ID"), "STG_POLICY",
               entity="Policy", severity="Critical", **about),
-        _rows("Duplicate policy check", lambda s: repeated_key(s, "POLICY_ID"), "STG_POLICY",
+        _rows("Duplicate policy check", lambda s: repeated_key(s, "POLICY_ID"), "STG_POLICY", read=keyed_batch_of,
               entity="Policy", severity="Critical", **about),
         _rows("Claim references an existing policy", claim_without_policy,
               "STG_CLAIM", "STG_POLICY", whole=("POLICY_MASTER",),
@@ -311,48 +311,69 @@ def _staging() -> list[Rule]:
 def _transformation() -> list[Rule]:
     about = {"folder": "/Transformation", "layer": "Transformation"}
     return [
-        _rows("Policy type decode", wrong_type_decode, "STG_POLICY", "TRN_POLICY",
+        _rows("Policy type decode", partial(wrong_type_decode, same=("POLICY_ID",)), "STG_POLICY", "TRN_POLICY",
+              read=keyed_batch_of,
               entity="Policy", severity="High", **about),
         _rows("Policy term validity", invalid_term, "TRN_POLICY",
               entity="Policy", severity="High", **about),
-        _rows("Claim ratio derivation", wrong_ratio, "STG_CLAIM", "TRN_CLAIM",
+        _rows("Claim ratio derivation", partial(wrong_ratio, same=("CLAIM_ID",)), "STG_CLAIM", "TRN_CLAIM",
+              read=keyed_batch_of,
               entity="Claim", severity="High", **about),
         _rows("Email standardisation", nonstandard_email, "TRN_CUSTOMER",
               entity="Customer", severity="Medium", **about),
     ]
 
 
+def _once(t: Mapping, what: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+    """Rows that several checks, or several parts of one, look at: kept for the run where there is one."""
+    return t.once(what, make) if hasattr(t, "once") else make()
+
+
+def _touched(t: Mapping, p: Mapping) -> DataFrame:
+    return _once(t, ("touched customers", p["batch_id"]), lambda: touched_customers(
+        t, lambda name: batch_of(t, name, p["batch_id"])).distinct())
+
+
+def _claims_near(t: Mapping, p: Mapping) -> DataFrame:
+    """
+    Curated claims among which a check finds its batch's. In a run they are those that the batch staged or
+    transformed, found once for all checks; else the whole table, which the check's own link goes through anyway.
+    """
+    def found() -> DataFrame:
+        batches = [keyed_batch_of(t, name, p["batch_id"]) for name in ("TRN_CLAIM", "STG_CLAIM")]
+        return linked(t["CLAIM_MASTER"].drop("LAST_UPDATED_TS"), "CLAIM_ID", *batches)  # no check of a batch reads it
+
+    return t.once(("CLAIM_MASTER", p["batch_id"]), found) if hasattr(t, "once") else t["CLAIM_MASTER"]
+
+
 def _source_to_target() -> list[Rule]:
     about = {"folder": "/Source-to-Target", "layer": "Curated", "scope": "SOURCE_TO_TARGET"}
 
-    def trn(name):
-        return lambda t, p: batch_of(t, name, p["batch_id"])
-
     def rows_of(name, shape):
-        return lambda t, p: shape(trn(name)(t, p))
+        return lambda t, p: shape(keyed_batch_of(t, name, p["batch_id"]))
 
     def curated(name, scope, key, tidy=lambda c: c):
         def rows(t, p):
-            keys = batch_of(t, scope, p["batch_id"]).select(tidy(F.col(key)).alias(key))
-            return linked(t[name], key, keys)
+            keys = keyed_batch_of(t, scope, p["batch_id"]).select(tidy(F.col(key)).alias(key))
+            held = _claims_near(t, p) if name == "CLAIM_MASTER" else t[name]
+            return linked(held, key, keys)
 
         return rows
 
     def expected_totals(t, p):
-        batch = lambda name: batch_of(t, name, p["batch_id"])
-        own = batch("TRN_CUSTOMER").select("CUSTOMER_ID")
-        known = t["CUSTOMER_360"].select("CUSTOMER_ID").join(
-            touched_customers(t, batch), "CUSTOMER_ID", "left_semi"
-        )
-        customers = own.unionByName(known).distinct()
+        def find() -> DataFrame:
+            own = batch_of(t, "TRN_CUSTOMER", p["batch_id"]).select("CUSTOMER_ID")
+            known = t["CUSTOMER_360"].select("CUSTOMER_ID").join(_touched(t, p), "CUSTOMER_ID", "left_semi")
+            return own.unionByName(known).distinct()
+
+        customers = _once(t, ("known customers", p["batch_id"]), find)
         # Only what the batch's customers own is summed.
         policies = t["POLICY_MASTER"].join(customers, "CUSTOMER_ID", "left_semi")
         claims = t["CLAIM_MASTER"].join(policies.select("POLICY_ID"), "POLICY_ID", "left_semi")
         return with_totals(customers, customer_totals(policies, claims))
 
     def actual_totals(t, p):
-        touched = touched_customers(t, lambda name: batch_of(t, name, p["batch_id"]))
-        return t["CUSTOMER_360"].join(touched, "CUSTOMER_ID", "left_semi")
+        return t["CUSTOMER_360"].join(_touched(t, p), "CUSTOMER_ID", "left_semi")
 
     def remapped_claims(t, p):
         staged = batch_of(t, "STG_CLAIM", p["batch_id"])
@@ -399,7 +420,7 @@ def _linkage() -> list[Rule]:
     about = {"folder": "/Linkage", "layer": "Curated", "entity": "Policy-Claim"}
 
     def of_batch(t, p):
-        return linked(t["CLAIM_MASTER"], "CLAIM_ID", batch_of(t, "TRN_CLAIM", p["batch_id"]))
+        return linked(_claims_near(t, p), "CLAIM_ID", keyed_batch_of(t, "TRN_CLAIM", p["batch_id"]))
 
     return [
         Rule("No orphan claims in curated", NO_ROWS, severity="Critical",

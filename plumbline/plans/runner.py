@@ -20,6 +20,7 @@ from plumbline.operators.check import Check
 from plumbline.operators.reconcile import match_row_counts, reconcile
 from plumbline.plans.params import resolve, run_clock, run_sql
 from plumbline.plans.rules import COMPARE, COUNTS, KINDS, NO_ROWS, REPORT, STATUS, Query, Rule
+from plumbline.sources.tables import SharedTables
 
 
 @dataclass
@@ -142,7 +143,7 @@ def build(spark: SparkSession, rule: Rule, tables: Mapping, values: Mapping) ->
         if rule.kind == COUNTS:
             return match_row_counts(source, target, rule.tolerance)
         return reconcile(source, target, list(rule.keys), list(rule.compare) or None,
-                         rule.tolerance)
+                         rule.tolerance, laid_out=isinstance(tables, SharedTables))
     rows = frame(rule.check, "validation")
     shape = {NO_ROWS: kinds.no_rows, STATUS: kinds.status_column, REPORT: kinds.informational}
     return shape[rule.kind](rows, rule.name)
@@ -169,7 +170,8 @@ def run_rules(
     Each check runs once. With a log its failures are written in the pass that measures
     it: counted from what was written where every row is a failure, else observed by the
     stage that writes. Copies of a definition, such as regression copies, share one pass,
-    whose outcome and failures are logged for each of them. Without a log measuring is one
+    whose outcome and failures are logged for each of them. Rows that several checks match by the same
+    key are laid out by it once for the run (``SharedTables``). Without a log measuring is one
     aggregate, and failures are computed when the result's ``failures`` are read, so an
     error in a detail column shows there.
     """
@@ -204,11 +206,16 @@ def run_rules(
         return found
 
     alike = _alike(rules)  # positions
-    if parallel > 1:
-        with ThreadPoolExecutor(parallel) as pool:
-            done = list(pool.map(inheritable_thread_target(spark)(run), alike))
-    else:
-        done = [run(copies) for copies in alike]
+    shared = SharedTables(spark, tables)
+    tables = shared if len(alike) > 1 else tables
+    try:
+        if parallel > 1:
+            with ThreadPoolExecutor(parallel) as pool:
+                done = list(pool.map(inheritable_thread_target(spark)(run), alike))
+        else:
+            done = [run(copies) for copies in alike]
+    finally:
+        shared.release()
     placed = {i: result for copies, found in zip(alike, done) for i, result in zip(copies, found)}
     results = [placed[i] for i in range(len(rules))]
     if log is not None and results:

@@ -12,7 +12,8 @@ laid out in parts by a hash of their key, so an upsert reads and rewrites only t
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
+from threading import RLock
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,12 @@ from plumbline.operators.mutate import upsert
 
 WHOLE = ""  # the part of a table that is not split
 KEY_PARTS = 16  # parts of a table laid out by key; a store keeps the number it began with
+# The keys of the tables with batches, and of the curated table that others point at.
+KEYS = {name: key for stg, (key, trn, _, _) in schemas.ENTITIES.items() for name in (stg, trn)}
+POINTED_AT = {"POLICY_MASTER": "POLICY_ID"}
+# Columns that no check matching by key reads.
+UNMATCHED = {"STG_POLICY": ("POLICY_NUMBER", "SUM_INSURED"), "TRN_POLICY": ("POLICY_TERM_DAYS",),
+             "STG_CLAIM": ("LAST_UPDATED_TS",), "TRN_CLAIM": ("OUTSTANDING_AMOUNT", "CLAIM_YEAR_MONTH")}
 
 
 class TableStore(Mapping):
@@ -173,6 +180,56 @@ def _newest(spark: SparkSession, folder: str) -> tuple[int, dict[tuple[str, str]
     return newest or 0, parts
 
 
+class SharedTables(Mapping):
+    """
+    Tables for several jobs that match the same rows by the same key: such rows are laid out by their key once, at
+    first use, and kept by the executors until ``release``. The rows are those of ``tables``.
+    """
+
+    def __init__(self, spark: SparkSession, tables: Mapping):
+        self.spark, self.tables = spark, tables
+        self._held: dict[tuple, DataFrame] = {}
+        self._lock = RLock()
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name in POINTED_AT:
+            return self.once((name,), lambda: self._by_key(self.tables[name], POINTED_AT[name]))
+        return self.tables[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.tables)
+
+    def __len__(self) -> int:
+        return len(self.tables)
+
+    def batch(self, name: str, batch_id: str) -> DataFrame:
+        return batch_of(self.tables, name, batch_id)
+
+    def keyed(self, name: str, batch_id: str) -> DataFrame:
+        """A batch's rows by their key, without columns that nothing matched by key is compared in."""
+        return self.once((name, batch_id), lambda: self._by_key(
+            self.batch(name, batch_id).drop(*UNMATCHED.get(name, ()), "LOAD_TS"), KEYS[name]))
+
+    def once(self, what: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+        """The same kept frame for everyone who asks for ``what``."""
+        with self._lock:  # for planning only; ``make`` may ask for others
+            if what not in self._held:
+                self._held[what] = make().persist()
+            return self._held[what]
+
+    def release(self) -> None:
+        with self._lock:
+            for rows in self._held.values():
+                rows.unpersist()
+            self._held.clear()
+
+    def _by_key(self, rows: DataFrame, key: str) -> DataFrame:
+        if key not in rows.columns:  # whoever needs it will say so
+            return rows
+        # A number of its own, or run-time re-planning would size each frame differently and none would meet another.
+        return rows.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def batch_of(tables: Mapping, name: str, batch_id: str) -> DataFrame:
     """One batch's rows from a store or from a plain dict of frames."""
     if hasattr(tables, "batch"):
@@ -180,6 +237,11 @@ def batch_of(tables: Mapping, name: str, batch_id: str) -> DataFrame:
     return tables[name].filter(F.col("BATCH_ID") == batch_id)
 
 
+def keyed_batch_of(tables: Mapping, name: str, batch_id: str) -> DataFrame:
+    """``batch_of`` for matching by key, where the tables are shared laid out by it."""
+    return tables.keyed(name, batch_id) if hasattr(tables, "keyed") else batch_of(tables, name, batch_id)
+
+
 def replace_partition(rows: DataFrame, path: str, column: str = "BATCH_ID") -> None:
     """Overwrite only the partitions present in ``rows`` of a partitioned Parquet folder."""
     rows.write.option("partitionOverwriteMode", "dynamic").partitionBy(column).mode(

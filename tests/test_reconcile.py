@@ -135,3 +135,13 @@ def test_row_counts(spark, a, b, tolerance, expected):
     check = match_row_counts(frame(a), frame(b), tolerance)
     assert counts(check) == expected
     assert check.failures.count() == expected[4]
+
+
+def test_a_side_laid_out_by_key_is_not_shuffled_again(spark):
+    left = spark.range(100).selectExpr("id", "id AS v").repartition(3)
+    keys = spark.range(120).repartition(3).hint("merge")
+    held = spark.range(1, 150).selectExpr("id", "id % 99 AS v").repartition(3).join(keys, "id", "left_semi")
+    check = reconcile(left, held, ["id"], laid_out=True)
+    assert counts(check) == ("FAIL", 100, 119, 98, 1 + 1 + 20)
+    plan = check.frame._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[:plan.index("Union")]

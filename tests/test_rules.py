@@ -1,4 +1,5 @@
 from datetime import datetime
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -230,6 +231,60 @@ def test_versions_before_a_window_do_not_travel(spark, rows):
     assert ">= 2020-02-01 00:00:00" in plan[plan.rindex("Window"):]
 
 
+def test_a_window_takes_no_more_than_the_key_of_later_versions(spark, rows):
+    from plumbline.plans.rules import latest_in_window
+
+    trn = spark.sql("SELECT k, BATCH_ID, v, CAST(t AS timestamp_ntz) AS RECORD_EFFECTIVE_TS FROM VALUES "
+                    "('a', 'B1', 1, '2020-02-28 23:59:59.999999'), ('a', 'B2', 2, '2020-03-01'), ('a', 'B3', 3, '2021-01-01'), "
+                    "(NULL, 'B1', 4, '2020-02-02'), (NULL, 'B1', 5, '2020-05-05'), ('b', 'B1', 6, '2020-02-03'), "
+                    "('b', 'B2', 7, '2020-02-28 23:59:59.999999') AS x(k, BATCH_ID, v, t)")
+    found = latest_in_window(trn, "k", "2020-02-01", "2020-02-28")
+    assert rows(found, "k", "BATCH_ID", "v", "RECORD_EFFECTIVE_TS") == [
+        ("b", "B2", 7, datetime(2020, 2, 28, 23, 59, 59, 999999))]
+    read = spark.createDataFrame(trn.collect(), trn.schema)
+    plan = latest_in_window(read, "k", "2020-02-01", "2020-02-28")._jdf.queryExecution().optimizedPlan().toString()
+    assert "least(RECORD_EFFECTIVE_TS" in plan
+
+
+def test_checks_of_a_run_share_what_they_match_by_key(spark, tmp_path):
+    """Each table is planned once for the run, outcomes are those of the checks alone, and nothing stays held."""
+    from plumbline.plans import mapping
+    from plumbline.plans.rules import builtin_rules
+
+    staged = spark.createDataFrame(
+        [(f"CL{i}", f"P{i % 5}", "C1", None, Decimal(i), Decimal(i % 3), "A", "Fire", None, "B1" if i % 2 else "B2") for i in range(1, 41)],
+        "CLAIM_ID string, POLICY_ID string, CUSTOMER_ID string, CLAIM_DATE date, CLAIM_AMOUNT decimal(12,2), "
+        "APPROVED_AMOUNT decimal(12,2), CLAIM_STATUS string, INCIDENT_TYPE string, LAST_UPDATED_TS timestamp_ntz, BATCH_ID string")
+    trn = mapping.map_claim(staged)
+    curated = mapping.claim_rows(trn).filter("CLAIM_ID <> 'CL7'").withColumn(
+        "CLAIM_STATUS", F.when(F.col("CLAIM_ID") == "CL9", "Pending").otherwise(F.col("CLAIM_STATUS")))
+    policies = spark.range(4).selectExpr("'P' || id AS POLICY_ID", "date'2020-01-01' AS ISSUE_DATE", "date'2020-02-01' AS EXPIRY_DATE")
+    asked, held = [], spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+
+    class Tables(dict):
+        def __getitem__(self, name):
+            asked.append(name)
+            return super().__getitem__(name)
+
+    names = ("Claim transformation vs curated", "No orphan claims in curated", "Claim date inside policy coverage",
+             "Claim ratio derivation")
+    chosen = [r for r in builtin_rules() if r.name in names and r.folder != "/Regression"]
+    tables = Tables(STG_CLAIM=staged, TRN_CLAIM=trn, CLAIM_MASTER=curated, POLICY_MASTER=policies)
+
+    def told(results):
+        return {r.rule.name: (r.status, r.source_row_count, r.target_row_count, r.matched_record_count,
+                              r.failed_record_count, r.error_message) for r in results}
+
+    found = told(run_rules(spark, chosen, tables, "B1", log=RunLog(spark, str(tmp_path / "log")), parallel=2))
+    assert sorted(asked) == ["CLAIM_MASTER", "POLICY_MASTER", "STG_CLAIM", "TRN_CLAIM"]
+    alone = {}
+    for rule in chosen:
+        alone |= told(run_rules(spark, [rule], tables, "B1"))
+    assert found == alone and found["Claim transformation vs curated"] == ("FAIL", 20, 19, 18, 2, "")
+    assert found["No orphan claims in curated"][4] == 4
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == held
+
+
 def test_compare_tables_defaults(spark):
     a = spark.createDataFrame([("B1", "x", 1), ("B2", "y", 2)],
                               "BATCH_ID string, ROW_ID string, v int")
