@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def linked(detail: DataFrame, key: str, *parents: DataFrame) -> DataFrame:
@@ -21,6 +22,16 @@ def unlinked(detail: DataFrame, key: str, *parents: DataFrame) -> DataFrame:
     return detail.join(_keys(key, parents), key, "left_anti")
 
 
+def apart(detail: DataFrame, keys: list[str], others: DataFrame) -> DataFrame:
+    """
+    Detail rows that share their keys with none of ``others``; NULL is a value like any other. Frames that both lie by
+    one of the keys are matched where they lie, which a join on several keys does not do.
+    """
+    stacked = detail.unionByName(others.select(*keys, F.lit(True).alias("_other")), allowMissingColumns=True)
+    met = F.max("_other").over(Window.partitionBy(*keys))
+    return stacked.withColumn("_met", met).filter("_met IS NULL").select(*detail.columns)
+
+
 def _keys(key: str, parents: tuple[DataFrame, ...]) -> DataFrame:
     keys = [p.select(key) for p in parents]
     stacked = keys[0]

@@ -70,18 +70,19 @@ def update_from(
     )
 
 
-def customer_totals(policies: DataFrame, claims: DataFrame) -> DataFrame:
+def customer_totals(policies: DataFrame, claims: DataFrame, customers: DataFrame | None = None) -> DataFrame:
     """
-    Premium and claim totals per customer.
+    Premium and claim totals per customer, or of some ``customers`` only.
 
     Claims are summed per policy before they meet the policies, so a policy that
     holds a large share of all claims joins as a single row, and the two totals
-    never multiply each other.
+    never multiply each other. Sums travel, not rows: customers are picked among the totals,
+    which Spark does ahead of the sums where they are few enough to be sent to every task.
     """
     per_policy = claims.filter(F.col("POLICY_ID").isNotNull()).groupBy("POLICY_ID").agg(
         F.count("CLAIM_ID").alias("_claims"), F.sum("CLAIM_AMOUNT").alias("_amount")
     )
-    return (
+    totals = (
         policies.select("POLICY_ID", "CUSTOMER_ID", "PREMIUM_AMOUNT")
         .join(per_policy, "POLICY_ID", "left")
         .groupBy("CUSTOMER_ID")
@@ -92,6 +93,7 @@ def customer_totals(policies: DataFrame, claims: DataFrame) -> DataFrame:
         )
         .filter(F.col("CUSTOMER_ID").isNotNull())
     )
+    return totals if customers is None else totals.join(customers.select("CUSTOMER_ID"), "CUSTOMER_ID", "left_semi")
 
 
 def with_totals(customers: DataFrame, totals: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from plumbline.operators.check import Check
 from plumbline.operators.reconcile import match_row_counts, reconcile
 from plumbline.plans.params import resolve, run_clock, run_sql
 from plumbline.plans.rules import COMPARE, COUNTS, KINDS, NO_ROWS, REPORT, STATUS, Query, Rule
+from plumbline.session import tidy_shuffles
 from plumbline.sources.tables import SharedTables
 
 
@@ -209,11 +210,12 @@ def run_rules(
     shared = SharedTables(spark, tables)
     tables = shared if len(alike) > 1 else tables
     try:
-        if parallel > 1:
-            with ThreadPoolExecutor(parallel) as pool:
-                done = list(pool.map(inheritable_thread_target(spark)(run), alike))
-        else:
-            done = [run(copies) for copies in alike]
+        with tidy_shuffles(spark):
+            if parallel > 1:
+                with ThreadPoolExecutor(parallel) as pool:
+                    done = list(pool.map(inheritable_thread_target(spark)(run), alike))
+            else:
+                done = [run(copies) for copies in alike]
     finally:
         shared.release()
     placed = {i: result for copies, found in zip(alike, done) for i, result in zip(copies, found)}

@@ -27,8 +27,8 @@ KEY_PARTS = 16  # parts of a table laid out by key; a store keeps the number it
 KEYS = {name: key for stg, (key, trn, _, _) in schemas.ENTITIES.items() for name in (stg, trn)}
 POINTED_AT = {"POLICY_MASTER": "POLICY_ID"}
 # Columns that no check matching by key reads.
-UNMATCHED = {"STG_POLICY": ("POLICY_NUMBER", "SUM_INSURED"), "TRN_POLICY": ("POLICY_TERM_DAYS",),
-             "STG_CLAIM": ("LAST_UPDATED_TS",), "TRN_CLAIM": ("OUTSTANDING_AMOUNT", "CLAIM_YEAR_MONTH")}
+UNMATCHED = {"STG_POLICY": ("POLICY_NUMBER", "SUM_INSURED"), "TRN_POLICY": ("POLICY_TERM_DAYS", "BATCH_ID"),
+             "STG_CLAIM": ("LAST_UPDATED_TS",), "TRN_CLAIM": ("OUTSTANDING_AMOUNT", "CLAIM_YEAR_MONTH", "BATCH_ID")}
 
 
 class TableStore(Mapping):
@@ -183,17 +183,18 @@ def _newest(spark: SparkSession, folder: str) -> tuple[int, dict[tuple[str, str]
 class SharedTables(Mapping):
     """
     Tables for several jobs that match the same rows by the same key: such rows are laid out by their key once, at
-    first use, and kept by the executors until ``release``. The rows are those of ``tables``.
+    first use, and kept by the executors until ``release``. The rows are those of ``tables``. Whoever asks gets them
+    once they lie there, so that plans are made with their sizes and their layout known.
     """
 
     def __init__(self, spark: SparkSession, tables: Mapping):
         self.spark, self.tables = spark, tables
         self._held: dict[tuple, DataFrame] = {}
-        self._lock = RLock()
+        self._lock, self._locks = RLock(), {}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name in POINTED_AT:
-            return self.once((name,), lambda: self._by_key(self.tables[name], POINTED_AT[name]))
+            return self.once((name,), lambda: self.by_key(self.tables[name], POINTED_AT[name]))
         return self.tables[name]
 
     def __iter__(self) -> Iterator[str]:
@@ -207,14 +208,22 @@ class SharedTables(Mapping):
 
     def keyed(self, name: str, batch_id: str) -> DataFrame:
         """A batch's rows by their key, without columns that nothing matched by key is compared in."""
-        return self.once((name, batch_id), lambda: self._by_key(
+        return self.once((name, batch_id), lambda: self.by_key(
             self.batch(name, batch_id).drop(*UNMATCHED.get(name, ()), "LOAD_TS"), KEYS[name]))
 
     def once(self, what: tuple, make: Callable[[], DataFrame]) -> DataFrame:
         """The same kept frame for everyone who asks for ``what``."""
-        with self._lock:  # for planning only; ``make`` may ask for others
+        with self._lock:
+            own = self._locks.setdefault(what, RLock())
+        with own:  # ``make`` may ask for others, never for itself
             if what not in self._held:
-                self._held[what] = make().persist()
+                rows = make().persist()
+                try:
+                    rows.count()
+                except BaseException:
+                    rows.unpersist()
+                    raise
+                self._held[what] = rows
             return self._held[what]
 
     def release(self) -> None:
@@ -223,7 +232,7 @@ class SharedTables(Mapping):
                 rows.unpersist()
             self._held.clear()
 
-    def _by_key(self, rows: DataFrame, key: str) -> DataFrame:
+    def by_key(self, rows: DataFrame, key: str) -> DataFrame:
         if key not in rows.columns:  # whoever needs it will say so
             return rows
         # A number of its own, or run-time re-planning would size each frame differently and none would meet another.

@@ -292,3 +292,45 @@ def test_compare_tables_defaults(spark):
     assert compare_tables(a, b, batch_id="B1").metrics.first().status == "PASS"
     assert compare_tables(a, b).metrics.first().failed_record_count == 1
     assert compare_tables(a, b, counts_only=True).metrics.first().status == "FAIL"
+
+
+def test_claims_of_a_run_are_matched_where_they_lie(spark, tmp_path, monkeypatch):
+    """
+    Staged claims are linked to policies once, by id and policy; claims with an id in common are told apart, and what
+    the checks of a run find is what each finds alone. A run's staged claims do not travel again as rows.
+    """
+    from plumbline.plans import rules as saved
+    from plumbline.plans import mapping
+
+    staged = spark.createDataFrame(
+        [(c, p, "C1", None, Decimal(10), Decimal(5), "A", "Fire", None, "B1") for c, p in (
+            ("CL1", "P1"), ("CL1", "P9"), ("CL2", "P9"), ("CL3", None), ("CL4", "P2"), ("CL5", "P3"), (None, "P1"), ("", "P8"), ("", "P1"))],
+        "CLAIM_ID string, POLICY_ID string, CUSTOMER_ID string, CLAIM_DATE date, CLAIM_AMOUNT decimal(12,2), "
+        "APPROVED_AMOUNT decimal(12,2), CLAIM_STATUS string, INCIDENT_TYPE string, LAST_UPDATED_TS timestamp_ntz, BATCH_ID string")
+    policies = spark.createDataFrame([("P1", "C1", "B1"), ("P3", "C1", "B1")], "POLICY_ID string, CUSTOMER_ID string, BATCH_ID string")
+    master = spark.createDataFrame([("P2", "2020-01-01", "2020-02-01")], "POLICY_ID string, ISSUE_DATE string, EXPIRY_DATE string").select(
+        "POLICY_ID", F.col("ISSUE_DATE").cast("date").alias("ISSUE_DATE"), F.col("EXPIRY_DATE").cast("date").alias("EXPIRY_DATE"))
+    curated = mapping.claim_rows(mapping.map_claim(staged)).withColumn("CLAIM_DATE", F.lit("2021-01-01").cast("date"))
+    tables = {"STG_CLAIM": staged, "STG_POLICY": policies, "TRN_CLAIM": mapping.map_claim(staged), "POLICY_MASTER": master,
+              "CLAIM_MASTER": curated}
+    names = ("Claim references an existing policy", "Claim staging vs curated (mapping rules)", "No orphan claims in curated",
+             "Claim date inside policy coverage")
+    chosen = [r for r in saved.builtin_rules() if r.name in names and r.folder != "/Regression"]
+    looked = []
+    monkeypatch.setattr(saved, "unlinked", lambda *a, real=saved.unlinked: looked.append(a[1]) or real(*a))
+    monkeypatch.setattr(mapping, "linked", lambda *a: pytest.fail("linked again"))
+
+    def told(log, results):
+        kept = {} if log is None else {r.test_case_id: r.n for r in log.failures.groupBy("test_case_id").agg(F.count("*").alias("n")).collect()}
+        return {r.rule.name: (r.status, r.source_row_count, r.target_row_count, r.failed_record_count, r.error_message) for r in results}, kept
+
+    log = RunLog(spark, str(tmp_path / "log"))
+    found, kept = told(log, run_rules(spark, chosen, tables, "B1", log=log, parallel=2))
+    assert looked == ["POLICY_ID"] and not any(f[-1] for f in found.values())
+    monkeypatch.undo()
+    alone = {}
+    for rule in chosen:
+        alone |= told(None, run_rules(spark, [rule], tables, "B1"))[0]
+    assert found == alone and found[names[0]][3] == 4 and found[names[1]][1] == 4
+    assert sorted(kept.values()) == sorted(f[3] for f in found.values() if f[3])
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
